@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with its session's Arrow batches held to so many rows: whole texts can be long, and a Python worker has little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
