@@ -15,6 +15,7 @@ Other columns of the input are left alone, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import filesystem, new_path, staged, texts
+from lamella.llm.common import filesystem, new_path, small_batches, staged, texts
 
 MAGIC = b"FIXBITS1"
 BLOCK = 1 << 16
@@ -33,7 +34,7 @@ BLOCK = 1 << 16
 IDS_PER_FILE = 1 << 26
 #: The documents of a read-back step are handed on so many ids at a time.
 READ_IDS = 1 << 22
-#: Distinct words that a worker remembers; it starts anew beyond.
+#: Distinct words that a worker remembers; beyond, it goes on with the half that it has met most often.
 WORDS_KEPT = 400_000
 
 
@@ -143,46 +144,73 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: One mark after an ASCII letter and before white space is a piece of its own, whatever the word.
+_MARK = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins what ASCII white space separates (and whose normaliser
-    changes nothing across it): each distinct word goes through the library once, a text's ids are those of its words."""
+    """Ids of texts by a tokenizer that lower-cases, and whose pre-tokenizer neither joins what ASCII white space separates
+    nor letters with the marks after them: each distinct word goes through the library once, a text's ids are those of
+    its words. Texts that may name a special token go through the library whole."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.clear()
-
-    def clear(self) -> None:
+        self.special = sorted({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size, self.met = (np.zeros(kept + (1 << 18), np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keep the words that were met most often."""
+        n = len(self.known)
+        keep = np.zeros(n, bool)
+        keep[np.argsort(-self.met[:n], kind="stable")[: self.kept // 2]] = True
+        old, at, size = np.flatnonzero(keep), self.at[:n][keep], self.size[:n][keep]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
+        number = np.cumsum(keep) - 1
+        self.known = {w: int(number[k]) for w, k in self.known.items() if keep[k]}
+        self.used = len(flat)
+        self.flat[: self.used] = flat
+        self.at[: len(old)], self.size[: len(old)], self.met[: len(old)] = ends - size, size, self.met[:n][keep] // 2
+        self.met[len(old) :] = 0
 
     def learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+        more = len(self.known) + len(new) - len(self.at)
+        if more > 0:
+            self.at, self.size, self.met = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.at, self.size, self.met))
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 ids, n = found.ids, len(self.known)
                 if self.used + len(ids) > len(self.flat):
                     self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat)), "<u4")))
-                if n == len(self.at):
-                    self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
                 self.flat[self.used : self.used + len(ids)] = ids
                 self.at[n], self.size[n] = self.used, len(ids)
                 self.used += len(ids)
                 self.known[word] = n
 
+    def whole(self, doc: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(doc.decode(), add_special_tokens=False).ids, "<u4")
+
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > self.kept:
-            self.clear()
-        split = [d.split() for d in docs]
+            self.forget()
+        plain = [not any(s in d for s in self.special) for d in docs]
+        split = [_MARK.sub(rb" \g<0>", d.lower()).split() if p else [] for d, p in zip(docs, plain, strict=True)]
         new = set().union(*split).difference(self.known)
         if new:
             self.learn(sorted(new))
         known, out = self.known, []
-        for ws in split:
+        for ws, p, d in zip(split, plain, docs, strict=True):
+            if not p:
+                out.append(self.whole(d))
+                continue
             k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+            np.add.at(self.met, k, 1)
             sizes = self.size[k]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ws) else 0
@@ -249,7 +277,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "path", "docs", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(write, FILES)
 
