@@ -21,6 +21,19 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("offending")
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.balance import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +44,8 @@ def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
+    "op6_cube_mix": op6_cube_mix,
     "op9_transducer_counts": op9_transducer_counts,
     "op10_bit_packed_ids": op10_bit_packed_ids,
 }
