@@ -105,7 +105,8 @@ def targets(units: DataFrame, share: float, most: float, weights: tuple[int, ...
     w = w.withColumn("level", cap / F.col("weight"))
     w = w.withColumn("all", F.sum("source_size").over(every) * F.lit(share)).withColumn("weights", F.sum("weight").over(every))
     w = w.withColumn("rate", (F.col("all") - F.coalesce(F.sum(cap).over(by_level), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(by_level), F.lit(0.0))))
-    rate = F.min(F.when(F.col("rate") <= F.col("level"), F.col("rate"))).over(every)
+    # NULL where the level is not reached: the first that is reached, in this order, ends the capping
+    rate = F.min(F.when(F.col("rate") <= F.col("level"), F.struct("level", F.col("source").isNull(), "source", "rate"))).over(every).getField("rate")
     w = w.withColumn("final", rate)
     return w.select("source", "source_size", F.when(F.col("final").isNull(), cap).otherwise(F.least(cap, F.col("final") * F.col("weight"))).cast("double").alias("target"), "units")
 
@@ -114,12 +115,15 @@ _UNITS = "doc_id long, source string, size long, n long, source_size long, targe
 
 
 def _fly(level: int, seed: int):
-    def fly(key, table: pa.Table) -> pa.Table:
+    def fly(key, table):
         source, block = (k.as_py() for k in key)
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        rng = random.Random(f"{seed}|{level}|{source}|{block}")
+        order = list(range(table.num_rows))
+        rng.shuffle(order)  # so that what is left to land has small and large documents
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")]).take(order)
         sizes, p = [float(x) for x in table["size"].to_pylist()], table["p"].to_pylist()
         last = table["blocks"][0].as_py() == 1
-        q = flight(sizes, p, random.Random(f"{seed}|{level}|{source}|{block}"), LAND if last else 2)
+        q = flight(sizes, p, rng, LAND if last else 2)
         if last:
             q = landing(sizes, q, 0.0, 0.0)
         table = table.set_column(table.schema.get_field_index("p"), "p", pa.array(q, pa.float64()))
