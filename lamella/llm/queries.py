@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamella.llm import licences
 from lamella.llm.common import table
 
 
@@ -21,6 +22,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.declist import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.toxicity import fit, score
 
@@ -34,6 +41,12 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,8 +57,10 @@ def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op3_decision_list": op3_decision_list,
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op6_cube_mix": op6_cube_mix,
+    "op7_licence_sentences": op7_licence_sentences,
     "op9_transducer_counts": op9_transducer_counts,
     "op10_bit_packed_ids": op10_bit_packed_ids,
 }
@@ -61,4 +76,5 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id <> last THEN last END AS refers_to
         FROM d
     """,
+    "op7_licence_sentences": licences.sql(),
 }
