@@ -28,6 +28,12 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.toxicity import fit, score
 
@@ -58,6 +64,7 @@ def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op3_decision_list": op3_decision_list,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op6_cube_mix": op6_cube_mix,
     "op7_licence_sentences": op7_licence_sentences,
