@@ -53,6 +53,12 @@ def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op6_cube_mix": op6_cube_mix,
     "op7_licence_sentences": op7_licence_sentences,
+    "op8_shingle_jaccard": op8_shingle_jaccard,
     "op9_transducer_counts": op9_transducer_counts,
     "op10_bit_packed_ids": op10_bit_packed_ids,
 }
