@@ -14,11 +14,14 @@ Other columns of the input are left alone, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,101 +147,125 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-#: One mark after an ASCII letter and before white space is a piece of its own, whatever the word.
-_MARK = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
+#: Words of these letters are their own normal form once lower-cased, and one piece.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it can be seen, else one of those from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(more)) for b in range(256)]
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases, and whose pre-tokenizer neither joins what ASCII white space separates
     nor letters with the marks after them: each distinct word goes through the library once, a text's ids are those of
-    its words. Texts that may name a special token go through the library whole."""
+    its words. Words of Latin letters go to the library's model directly, words with one mark after a letter in two; texts that may name a special token go
+    through the library whole."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # else its threads each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.model = self.tokenizer.model
         self.special = sorted({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.as_characters = dict(enumerate(_byte_characters()))
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.at, self.size, self.met = (np.zeros(kept + (1 << 18), np.int64) for _ in range(3))
+        self.at, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def forget(self) -> None:
         """Keep the words that were met most often."""
         n = len(self.known)
         keep = np.zeros(n, bool)
         keep[np.argsort(-self.met[:n], kind="stable")[: self.kept // 2]] = True
-        old, at, size = np.flatnonzero(keep), self.at[:n][keep], self.size[:n][keep]
+        at, size, met = self.at[:n][keep], self.size[:n][keep], self.met[:n][keep] // 2
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
         number = np.cumsum(keep) - 1
         self.known = {w: int(number[k]) for w, k in self.known.items() if keep[k]}
         self.used = len(flat)
         self.flat[: self.used] = flat
-        self.at[: len(old)], self.size[: len(old)], self.met[: len(old)] = ends - size, size, self.met[:n][keep] // 2
-        self.met[len(old) :] = 0
-
-    def learn(self, new: list[bytes]) -> None:
-        more = len(self.known) + len(new) - len(self.at)
-        if more > 0:
-            self.at, self.size, self.met = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.at, self.size, self.met))
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, n = found.ids, len(self.known)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat)), "<u4")))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[n], self.size[n] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = n
+        self.at[: len(at)], self.size[: len(at)], self.met[: len(at)] = ends - size, size, met
+        self.met[len(at) :] = 0
+
+    def ids_of(self, word: bytes) -> list[int]:
+        if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():  # one mark after an ASCII letter is a piece of its own
+            n = self.known.get(word[:-1])
+            before = self.ids_of(word[:-1]) if n is None else self.flat[self.at[n] : self.at[n] + self.size[n]].tolist()
+            return before + self.ids_of(word[-1:])
+        text = word.decode()
+        if _LETTERS.fullmatch(text):
+            return [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.as_characters))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, word: bytes) -> int:
+        ids, n = self.ids_of(word), len(self.known)
+        if n == len(self.at):
+            self.at, self.size, self.met = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.at, self.size, self.met))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat) // 2), "<u4")))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[n], self.size[n] = self.used, len(ids)
+        self.used += len(ids)
+        self.known[word] = n
+        return n
 
     def whole(self, doc: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(doc.decode(), add_special_tokens=False).ids, "<u4")
 
-    def encode(self, docs: list[bytes]) -> list[np.ndarray]:
+    def encode(self, docs: list[bytes], end_id: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, with end_id after them."""
         if len(self.known) > self.kept:
             self.forget()
-        plain = [not any(s in d for s in self.special) for d in docs]
-        split = [_MARK.sub(rb" \g<0>", d.lower()).split() if p else [] for d, p in zip(docs, plain, strict=True)]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-        known, out = self.known, []
-        for ws, p, d in zip(split, plain, docs, strict=True):
-            if not p:
-                out.append(self.whole(d))
+        known, numbers, whole = self.known, [], {}
+        for n, d in enumerate(docs):
+            if any(s in d for s in self.special):
+                whole[n] = self.whole(d)
+                numbers.append(np.zeros(0, np.int64))
                 continue
-            k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            np.add.at(self.met, k, 1)
-            sizes = self.size[k]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ws) else 0
-            out.append(self.flat[np.repeat(self.at[k] - (ends - sizes), sizes) + np.arange(total)])
-        return out
+            ws = d.lower().split()
+            k = np.fromiter(map(known.get, ws, repeat(-1)), np.int64, len(ws))
+            for j in np.flatnonzero(k < 0).tolist():
+                found = known.get(ws[j])
+                k[j] = self.learn(ws[j]) if found is None else found
+            numbers.append(k)
+        counts = np.array([len(k) for k in numbers], np.int64)
+        k = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        used = np.bincount(k, minlength=1)
+        self.met[: len(used)] += used
+        sizes = self.size[k]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(self.at[k] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
+        stops = ends[np.cumsum(counts)]
+        starts = ends[np.cumsum(counts) - counts]
+        out = [whole[n] if n in whole else ids[a:b] for n, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True))]
+        return out if end_id is None else [np.append(x, np.uint32(end_id)) for x in out]
 
 
 #: Texts are encoded so many bytes at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encoded(batches, tokenizer_path: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    encoder = WordEncoder(tokenizer_path)
-    end = np.array([end_id], "<u4")
+    """doc_id and ids of each row. A worker process has one encoder and keeps what it has learnt for later tasks."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
+    encoder = _encoders[tokenizer_path]
     for batch in batches:
-        ids, held, size = batch.column("doc_id"), [], 0
-        done = 0
-        for text in texts(batch):
-            held.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                for one in encoder.encode(held):
-                    yield ids[done].as_py(), np.concatenate((one, end))
+        ids, held, size, done = batch.column("doc_id"), [], 0, 0
+        for text in itertools.chain(texts(batch), (None,)):
+            if text is not None:
+                held.append(text)
+                size += len(text)
+            if text is None or size >= CHUNK:
+                for one in encoder.encode(held, end_id):
+                    yield ids[done].as_py(), one
                     done += 1
                 held, size = [], 0
-        for one in encoder.encode(held):
-            yield ids[done].as_py(), np.concatenate((one, end))
-            done += 1
 
 
 FILES = "part int, seq int, path string, docs long, ids long"
@@ -250,21 +277,20 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1
     Returns the list of files: part and seq order them. A file's name is its task attempt's own; only files of attempts
     that succeeded are listed, so a lost executor leaves at most files that nothing names."""
 
+    from tokenizers import Tokenizer
+
+    bits = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()) + 1)
+
     def write(batches):
         part, seq, writer, path, rows = TaskContext.get().partitionId(), 0, None, "", []
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        bits = None
 
         def close():
             rows.append((part, seq, path, len(writer.doc_ids), writer.n))
             writer.close()
 
         for doc_id, ids in encoded(batches, tokenizer_path, end_id):
-            if bits is None:
-                from tokenizers import Tokenizer
-
-                bits = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()) + 1)
             if writer is not None and writer.n >= IDS_PER_FILE:
                 close()
                 writer, seq = None, seq + 1
@@ -308,7 +334,8 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                         )
                         k = stop
 
-    return based.select("path", "base").repartition("path").mapInArrow(read, ROWS)
+    n = max(1, files.count())  # a task for each file: the list itself is small enough to be coalesced into one
+    return based.select("path", "base").repartitionByRange(n, "path").mapInArrow(read, ROWS)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
