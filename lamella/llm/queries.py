@@ -22,6 +22,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.declist import judge
 
@@ -69,6 +75,7 @@ def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_decision_list": op3_decision_list,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
