@@ -65,6 +65,28 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Slots of a sieve: 131,072 rows of 64, whatever it is made of.
+SLOTS = 1 << 23
+
+
+def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df with a column _maybe: false only where its key is surely not in ids (of one column). A bitmap of fixed size is
+    broadcast; the more ids it holds the more rows are true, which costs but changes nothing for who looks closer."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    held = ids.select(slot(F.col(ids.columns[0])).alias("_s"))
+    held = held.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
+    found = df.withColumn("_s", slot(F.col(key))).withColumn("_v", F.shiftright("_s", 6)).join(F.broadcast(held), F.col("_v") == F.col("_w"), "left")
+    return found.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1 = 1"), F.lit(False))).select(*df.columns, "_maybe")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is not in ids; a null key only goes if ids has null. Only rows that may go are shuffled."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    marked = sieve(df, ids, key)
+    rest = marked.filter("_maybe").join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    return marked.filter("not _maybe").unionByName(rest).select(*df.columns)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; of null, an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

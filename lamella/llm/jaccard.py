@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import discard, small_batches, staged, texts
+from lamella.llm.common import discard, sieve, small_batches, staged, texts, without
 from lamella.llm.components import components
 
 WORDS, T = 5, (75, 100)
@@ -40,8 +40,6 @@ HEAVY, OFTEN = 1 << 17, 4
 #: Prefix shingles of a fragment, on average; documents of a group of verification; ranges in it; sets of a list's block.
 PER_FRAGMENT, PER_GROUP, PARTS, SPLIT = 1_000_000, 400, 4, 4000
 WORDS_KEPT = 300_000
-#: Slots of the bitmap that tells which documents are to be read for verification.
-SLOTS, PART = (1 << 23) - 15, 4096 * 8
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_FACTOR, k, 1 << 64)) for k in range(WORDS)]
 _NONE = -(1 << 63)
@@ -320,19 +318,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     dealt = staged(dealt.select("a", "b", "na", "nb", "g"), "pairs-dealt")
     wanted = dealt.select(F.col("a").alias("u"), "g").unionByName(dealt.select(F.col("b").alias("u"), "g")).distinct()
     wanted = staged(wanted.join(classes.select("u", "doc_id"), "u").select(F.coalesce("doc_id", F.lit(_NONE)).alias("k"), "u", "g"), "sets-wanted")
-    slot = F.pmod("k", F.lit(SLOTS))
-    bits = wanted.groupBy((slot / F.lit(PART)).cast("long").alias("part")).agg(F.bitmap_construct_agg((slot % F.lit(PART)).cast("long")).alias("bitmap")).collect()  # at most SLOTS / PART rows of 4 KB
-    bitmap = np.zeros((SLOTS // PART + 1) * PART // 8, np.uint8)
-    for r in bits:
-        bitmap[r.part * (PART // 8) : (r.part + 1) * (PART // 8)] = np.frombuffer(bytes(r.bitmap), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-
-    def perhaps(batches):
-        is_set = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = np.mod(batch.column("k").to_numpy(), SLOTS)
-            yield batch.filter(pa.array((is_set[at >> 3] >> (at & 7) & 1).astype(bool)))
-
     def segments(batches):
         s = Shingler()
         edges = (np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62)) // np.uint64(PARTS) << np.uint64(2)
@@ -352,7 +337,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     source = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
     per_set = wanted.groupBy("k", "u").agg(F.collect_set("g").alias("gs"))  # at most `groups` numbers, for most sets one
-    chosen = source.mapInArrow(perhaps, "k long, text string").join(per_set, "k")
+    chosen = sieve(source, wanted.select("k"), "k").filter("_maybe").join(per_set, "k")
     parts = chosen.select("text", "u", "gs").mapInArrow(segments, "g long, f int, a long, blob binary")
     # several rows can have the class's first id and text: one is enough
     parts = parts.dropDuplicates(["g", "f", "a"])
@@ -401,3 +386,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = rows.filter("n_shingles > 0").join(of_class, "u").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of each component the rows of its smallest doc_id stay, of these one per text. Rows are
+    told apart by doc_id; rows without one stay."""
+    found = near_duplicates(docs)
+    others = staged(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "duplicates")
+    repeated = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    kept = without(docs, others)
+    single = without(kept, repeated)
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return single.unionByName(several.select(*docs.columns))
