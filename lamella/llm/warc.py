@@ -212,6 +212,11 @@ def _listed(rows: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
 FILES = "path string, records long"
 
 
+def _each(files: DataFrame) -> DataFrame:
+    """files with a task for each: the list itself is small enough to be coalesced into one."""
+    return files.repartitionByRange(max(1, files.count()), "path")
+
+
 def write_arc(pages: DataFrame, folder: str, date: str = "20050101000000", type_: str = "text/html") -> DataFrame:
     """A legacy archive of pages(page_id, url, html): files of version 1 and 2 by turns. Returns the list of files."""
 
@@ -252,7 +257,7 @@ def scan_arc(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
 
-    return files.select("path").repartition("path").mapInArrow(scan, "path string, offset long, page_id long, payload_bytes long, payload_digest string")
+    return _each(files.select("path")).mapInArrow(scan, "path string, offset long, page_id long, payload_bytes long, payload_digest string")
 
 
 _SCAN_NAMES = ["path", "offset", "page_id", "payload_bytes", "payload_digest"]
@@ -309,7 +314,7 @@ def convert(files: DataFrame, decisions: DataFrame, folder: str) -> DataFrame:
         out.close()
         yield from _listed(out.rows)
 
-    return files.select("path").join(decisions, "path", "left").repartition("path").mapInArrow(write, FILES)
+    return _each(files.select("path").join(decisions, "path", "left")).mapInArrow(write, FILES)
 
 
 def warc_records(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -363,7 +368,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return files.select("path").repartition("path").mapInArrow(read, READ)
+    return _each(files.select("path")).mapInArrow(read, READ)
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
