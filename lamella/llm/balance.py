@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import SPACES, discard, staged
+from lamella.llm.common import SPACES, fresh, staged
 
 #: Units of a block.
 BLOCK = 4096
@@ -168,19 +168,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         out = out.unionByName(part)
     extra = F.col("taken_n") + F.col("p").cast("long")
     copies = F.col("base") + (F.col("i") <= extra).cast("int")
-    discard(units) if not level else None
     return out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
     """docs with each row as often as mix() takes it. Rows are matched by id, source and size; where several rows agree in
     these, the copies go to them in the order of their text."""
-    chosen = mix(docs, share, most, weights, seed).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    chosen = chosen.filter("_copies > 0")
-    sized = docs.withColumn("_words", n_words(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    found = sized.join(chosen, same)
-    one = found.filter("_rows = 1").withColumn("_i", F.lit(1))
-    several = found.filter("_rows > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text")))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_i") <= F.col("_copies") % F.col("_rows")).cast("int")
-    return one.unionByName(several).withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    key, of, n, rows, copies, number, times, nth = fresh(docs, "mix_id", "mix_source", "mix_size", "mix_rows", "mix_copies", "mix_words", "mix_times", "mix_nth")
+    chosen = mix(docs, share, most, weights, seed).groupBy(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("size").alias(n)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    chosen = chosen.filter(F.col(copies) > 0)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(of)) & (F.col(number) == F.col(n))
+    found = docs.withColumn(number, n_words(F.col("text"))).join(chosen, same)
+    one = found.filter(F.col(rows) == 1).withColumn(nth, F.lit(1))
+    several = found.filter(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(key, of, n).orderBy("text")))
+    each = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("int")
+    taken = one.unionByName(several).withColumn(times, each.cast("int")).filter(F.col(times) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)).select(*docs.columns)

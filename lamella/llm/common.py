@@ -69,22 +69,34 @@ def delete(spark: SparkSession, path: str) -> None:
 SLOTS = 1 << 23
 
 
-def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """df with a column _maybe: false only where its key is surely not in ids (of one column). A bitmap of fixed size is
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id", flag: str = "maybe") -> DataFrame:
+    """df with a column `flag`: false only where its key is surely not in ids (of one column). A bitmap of fixed size is
     broadcast; the more ids it holds the more rows are true, which costs but changes nothing for who looks closer."""
+    s, v, w, bits = fresh(df, "slot", "word", "of_word", "bits")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    held = ids.select(slot(F.col(ids.columns[0])).alias("_s"))
-    held = held.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
-    found = df.withColumn("_s", slot(F.col(key))).withColumn("_v", F.shiftright("_s", 6)).join(F.broadcast(held), F.col("_v") == F.col("_w"), "left")
-    return found.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1 = 1"), F.lit(False))).select(*df.columns, "_maybe")
+    held = ids.select(slot(F.col(ids.columns[0])).alias(s)).groupBy(F.shiftright(s, 6).alias(w)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({s} & 63 as int))")).alias(bits))
+    found = df.withColumn(s, slot(F.col(key))).withColumn(v, F.shiftright(s, 6)).join(F.broadcast(held), F.col(v) == F.col(w), "left")
+    return found.withColumn(flag, F.coalesce(F.expr(f"shiftrightunsigned({bits}, cast({s} & 63 as int)) & 1 = 1"), F.lit(False))).select(*df.columns, flag)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of df whose key is not in ids; a null key only goes if ids has null. Only rows that may go are shuffled."""
-    ids = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
-    marked = sieve(df, ids, key)
-    rest = marked.filter("_maybe").join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
-    return marked.filter("not _maybe").unionByName(rest).select(*df.columns)
+    other, flag = fresh(df, "other", "maybe")
+    ids = ids.select(F.col(ids.columns[0]).alias(other)).distinct()
+    marked = sieve(df, ids, key, flag)
+    rest = marked.filter(F.col(flag)).join(ids, F.col(key).eqNullSafe(F.col(other)), "left_anti")
+    return marked.filter(~F.col(flag)).unionByName(rest).select(*df.columns)
 
 
 def words(text: Column) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import discard, sieve, small_batches, staged, texts, without
+from lamella.llm.common import discard, fresh, sieve, small_batches, staged, texts, without
 from lamella.llm.components import components
 
 WORDS, T = 5, (75, 100)
@@ -337,7 +337,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     source = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
     per_set = wanted.groupBy("k", "u").agg(F.collect_set("g").alias("gs"))  # at most `groups` numbers, for most sets one
-    chosen = sieve(source, wanted.select("k"), "k").filter("_maybe").join(per_set, "k")
+    chosen = sieve(source, wanted.select("k"), "k").filter("maybe").join(per_set, "k")
     parts = chosen.select("text", "u", "gs").mapInArrow(segments, "g long, f int, a long, blob binary")
     # several rows can have the class's first id and text: one is enough
     parts = parts.dropDuplicates(["g", "f", "a"])
@@ -394,6 +394,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     others = staged(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "duplicates")
     repeated = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     kept = without(docs, others)
-    single = without(kept, repeated)
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    single, digest = without(kept, repeated), fresh(docs, "digest")[0]
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest])
     return single.unionByName(several.select(*docs.columns))

@@ -84,7 +84,7 @@ RULES = (
     ("CC-BY-4.0", "cc-by-reference", ("cc-by-name",)),
     ("MPL-2.0", "mpl2-reference", ("mpl2-name",)),
 )
-ANCHORS = ("licen", "permi", "copyright", "redistribut", "warrant", "holders")
+ANCHORS = ("licen", "permi", "copyright", "redistribut", "warrant", "holders", "free software")
 #: White space and sentence ends, as both Java's and RE2's expressions read them.
 _CUT, _OTHER = r"([.!?:;])[\x20\x09-\x0D]+", r"[^a-z0-9]+"
 
