@@ -4,7 +4,7 @@ Sets are distinct runs of WORDS words (of fewer words, the whole sequence), as 6
 class, found by a hash of the set, so copies never meet in pairs; further steps are on classes.
 
 A global order of shingles, rare ones first, is cut into fragments: ranges of the order. (Rare: not among the HEAVY shingles
-that most often come several times in a block of documents; any order gives the same links, this one keeps common passages
+that come most often more than once in a block of documents; any order gives the same links, this one keeps common passages
 out of prefixes.) Two sets of Jaccard T or more share a shingle within the first n - ceil(T n) + 1 of each, and, as those
 prefixes are longer than most pairs need, a number of shingles in them that grows with the sets: bound(). Each fragment
 has the prefix shingles of its range, counts for pairs of sets how many they share in it, and the counts are summed for each pair:
@@ -36,10 +36,10 @@ from lamella.llm.components import components
 
 WORDS, T = 5, (75, 100)
 #: Shingles of the order's end, and how often one comes in a block of documents to be counted for it.
-HEAVY, OFTEN = 1 << 17, 4
+HEAVY, OFTEN = 1 << 18, 2
 #: Prefix shingles of a fragment, on average; documents of a group of verification; ranges in it; sets of a list's block.
-PER_FRAGMENT, PER_GROUP, PARTS, SPLIT = 1_000_000, 400, 4, 4000
-WORDS_KEPT = 300_000
+PER_FRAGMENT, PER_GROUP, PARTS, SPLIT = 250_000, 400, 4, 4000
+WORDS_KEPT = 150_000
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_FACTOR, k, 1 << 64)) for k in range(WORDS)]
 _NONE = -(1 << 63)
@@ -166,8 +166,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 [pa.array([0] * len(us) + [1] * k, pa.int32()), pa.concat_arrays([batch.column("doc_id"), pa.array(h[often].view(np.int64))]), pa.array(us + n[often].tolist(), pa.int64()), pa.array(ns + [0] * k, pa.int64())],
                 names=["kind", "a", "b", "c"],
             )
+        _free()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return small_batches(docs, 1000).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
 def _postings(docs: DataFrame, order: Order) -> DataFrame:
@@ -187,8 +188,9 @@ def _postings(docs: DataFrame, order: Order) -> DataFrame:
                 parts.append(p)
             if parts:
                 yield from _cut(np.concatenate(parts), order)
+        _free()
 
-    return small_batches(docs).select("text").mapInArrow(run, "fragment long, blob binary")
+    return small_batches(docs, 1000).select("text").mapInArrow(run, "fragment long, blob binary")
 
 
 def _cut(p: np.ndarray, order: Order) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ FOUND = "kind int, fragment long, a long, b long, na long, nb long, n long"
 def _centres(key, table):
     """Of a fragment: kind 0, pairs of lists' centres and members with how many lists they share here; kind 1, lists of two
     sets or more (a: shingle, b: class, nb: size)."""
+    _free()
     fragment = key[0].as_py()
     p = np.concatenate([np.frombuffer(b.as_py(), POSTING) for b in table["blob"]])
     p = p[np.lexsort((p["u"], p["key"]))]
@@ -334,13 +337,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                     rows = []
             if rows:
                 yield _segments_batch(rows)
+        _free()
 
-    source = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
+    source = small_batches(docs, 1000).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
     per_set = wanted.groupBy("k", "u").agg(F.collect_set("g").alias("gs"))  # at most `groups` numbers, for most sets one
-    chosen = sieve(source, wanted.select("k"), "k").filter("maybe").join(per_set, "k")
+    # several rows can have the class's first id, and text: one of each text is enough
+    chosen = sieve(source, wanted.select("k"), "k").filter("maybe").dropDuplicates(["k", "text"]).join(per_set, "k")
     parts = chosen.select("text", "u", "gs").mapInArrow(segments, "g long, f int, a long, blob binary")
-    # several rows can have the class's first id and text: one is enough
-    parts = parts.dropDuplicates(["g", "f", "a"])
     rows = parts.select("g", "f", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("na"), F.lit(0).cast("long").alias("nb"), "blob")
     asked = dealt.select("g", F.explode(F.array(*[F.lit(f) for f in range(PARTS)])).alias("f"), F.lit(1).alias("kind"), "a", "b", "na", "nb", F.lit(None).cast("binary").alias("blob"))
     partial = rows.unionByName(asked).groupBy("g", "f").applyInArrow(_overlaps, PAIRS)
@@ -350,6 +353,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return linked
 
 
+def _free() -> None:
+    """Arrow keeps what it has freed; a worker is to give it back before its next task."""
+    pa.default_memory_pool().release_unused()
+
+
 def _segments_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["g", "f", "a", "blob"])
 
@@ -366,7 +374,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = staged(_postings(docs, order).groupBy("fragment").applyInArrow(_centres, FOUND), "fragments")
     # first links: each class with the centre it shares most with
     shared = found.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    likely = shared.filter(2 * F.col("n") >= bound(F.col("na"), F.col("nb")))
+    likely = shared.filter(F.col("n") >= bound(F.col("na"), F.col("nb")))
     best = likely.groupBy("b", "nb").agg(F.max(F.struct("n", "a", "na")).alias("m")).select(F.col("m.a").alias("a"), "b", F.col("m.na").alias("na"), "nb")
     first = verified(best, classes, docs)
     label = components(first)
