@@ -181,6 +181,7 @@ class Rolling:
     """Files below a folder, closed at FILE_BYTES or FILE_RECORDS; `rows` lists those that are complete."""
 
     def __init__(self, folder: str, end: str, open_with=None):
+        self.folder = folder
         self.system, self.root = filesystem(folder)
         self.system.create_dir(self.root, recursive=True)
         self.end, self.open_with, self.out, self.rows, self.seq = end, open_with, None, [], 0
@@ -200,7 +201,7 @@ class Rolling:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.rows.append((f"{self.root}/{self.name}", self.n))
+            self.rows.append((f"{self.folder}/{self.name}", self.n))
             self.out = None
 
 
@@ -244,9 +245,9 @@ def scan_arc(files: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, _ = filesystem(path)
+                system, place = filesystem(path)
                 rows = []
-                with system.open_input_stream(path, compression=None) as f:
+                with system.open_input_stream(place, compression=None) as f:
                     for r in arc_records(Stream(f)):
                         _, fields, body = http_parts(r["content"])
                         page = fields.get("x-page-id")
@@ -291,8 +292,8 @@ def convert(files: DataFrame, decisions: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, found in zip(batch.column("path").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
                 of = {x["offset"]: x for x in found or ()}
-                system, _ = filesystem(path)
-                with system.open_input_stream(path, compression=None) as f:
+                system, place = filesystem(path)
+                with system.open_input_stream(place, compression=None) as f:
                     for r in arc_records(Stream(f)):
                         url, name = r["URL"], path.rsplit("/", 1)[1]
                         head, fields, body = http_parts(r["content"])
@@ -349,9 +350,9 @@ def read_warc(files: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, _ = filesystem(path)
+                system, place = filesystem(path)
                 rows = []
-                with system.open_input_stream(path, compression=None) as f:
+                with system.open_input_stream(place, compression=None) as f:
                     for h, block in warc_records(Stream(f)):
                         if h["warc-type"] not in ("response", "revisit"):
                             continue
