@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import half_even
@@ -35,3 +35,21 @@ def box_error(a: DataFrame, b: DataFrame) -> DataFrame:
 def safe_area(covered: DataFrame, w: int, h: int, least: int) -> DataFrame:
     """A synthetic row for images whose top band of h rows has more than `least` pixels that no mask covers; covered: image_id, pixels."""
     return covered.filter(F.lit(w * h) - F.col("pixels") > least).select("image_id", F.lit("status_bar_safe_area").alias("id"), (F.lit(w * h) - F.col("pixels")).alias("pixels"))
+
+
+def manifest(layers: DataFrame, log: DataFrame, duplicates: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of the export in their order (z, then id): layers that aren't dropped and aren't duplicates, how they were repaired
+    (the first row of the log), and which duplicates they stand for (null if none)."""
+    kept = layers.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).join(dropped, "id", "left_anti").join(duplicates.select("image_id", F.col("loser").alias("id")), ["image_id", "id"], "left_anti")
+    first = log.groupBy("id").agg(F.min_by("method", "ord").alias("method"))
+    aka = duplicates.groupBy("image_id", F.col("keeper").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("loser")), ",").alias("aka"))
+    n = F.row_number().over(Window.partitionBy("image_id").orderBy("z", "id"))
+    return kept.join(first, "id", "left").join(aka, ["image_id", "id"], "left").select("image_id", "id", n.alias("position"), "method", "aka")
+
+
+def lossless(differences: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x) that differ outside the allowed runs, per image that has differences."""
+    a, r = differences.alias("a"), allowed.alias("r")
+    on = (F.col("a.image_id") == F.col("r.image_id")) & (F.col("a.y") == F.col("r.y")) & (F.col("a.x") >= F.col("r.x0")) & (F.col("a.x") < F.col("r.x1"))
+    bad = a.join(r, on, "left_anti").groupBy("image_id").agg(F.count("*").alias("n_bad"))
+    return differences.select("image_id").distinct().join(bad, "image_id", "left").select("image_id", F.coalesce("n_bad", F.lit(0).cast("long")).alias("n_bad"))

@@ -86,3 +86,18 @@ def box_token(x: Column, n: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16)
+
+
+def prompt_block(entries: DataFrame, w: int, h: int, key: str = "image_id") -> DataFrame:
+    """The detections of an image as lines of a prompt, in order: id, box as parts of ten thousand of the canvas, text on one line."""
+    part = lambda c, n: F.floor(F.col(c) * 10000 / n).cast("string")
+    line = F.concat_ws(" ", "id", part("x0", w), part("y0", h), part("x1", w), part("y1", h), F.trim(F.regexp_replace("text", "[\r\n]+", " ")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("ord"), line.alias("line"))))
+    return entries.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x.getField("line")), "\n").alias("block"))
+
+
+def consensus(matches: DataFrame, p_good: float = 0.85, share: float = 0.6) -> DataFrame:
+    """image_id, layer_id, n_good, mean_good of templates that enough others match: at least max(2, share of the others)."""
+    good = F.col("value") >= p_good
+    out = matches.groupBy("image_id", "layer_id").agg(F.count("*").alias("n"), F.count_if(good).alias("n_good"), F.avg(F.when(good, F.col("value"))).alias("mean_good"))
+    return out.filter(F.col("n_good") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("n")))).drop("n")

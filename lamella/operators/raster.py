@@ -90,3 +90,28 @@ def holes(masks: DataFrame, edges: DataFrame, reach: int = 7) -> DataFrame:
     a, b = masks.alias("a"), grown.alias("b")
     on = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.layer_id") == F.col("b.layer_id")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
     return a.join(b, on).select("a.image_id", "a.layer_id", "a.y", F.greatest("a.x0", "b.x0").alias("x0"), F.least("a.x1", "b.x1").alias("x1"))
+
+
+def point_hits(points: DataFrame, runs: DataFrame, w: int, h: int, clamped: bool = True) -> DataFrame:
+    """points(image_id, layer_id, px, py, kind) with a flag `hit`: whether the layer's mask has the point. Points outside the
+    canvas are moved onto its border, or left out."""
+    p = points if not clamped else points.withColumns({"px": F.greatest(F.lit(0), F.least(F.lit(w - 1), "px")), "py": F.greatest(F.lit(0), F.least(F.lit(h - 1), "py"))})
+    p = p.filter(F.col("px").between(0, w - 1) & F.col("py").between(0, h - 1)).alias("p")
+    r = runs.alias("r")
+    on = (F.col("p.image_id") == F.col("r.image_id")) & (F.col("p.layer_id") == F.col("r.layer_id")) & (F.col("p.py") == F.col("r.y")) & (F.col("p.px") >= F.col("r.x0")) & (F.col("p.px") < F.col("r.x1"))
+    return p.join(r, on, "left").groupBy("p.image_id", "p.layer_id", "p.kind", "p.px", "p.py").agg(F.bool_or(F.col("r.y").isNotNull()).alias("hit"))
+
+
+def halves(regions: DataFrame, limit: int, rounds: int = 4) -> DataFrame:
+    """Regions (id, x0, y0, x1, y1) cut in two along their longer side until no side is above the limit, so many rounds at most.
+    Each round is a projection; there is no recursion to wait for."""
+    out = regions
+    for _ in range(rounds):
+        w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        wide, cut = w >= h, F.greatest(w, h) > limit
+        mx, my = F.col("x0") + F.floor(w / 2), F.col("y0") + F.floor(h / 2)
+        box = lambda a, b, c, d: F.struct(a.cast("long").alias("x0"), b.cast("long").alias("y0"), c.cast("long").alias("x1"), d.cast("long").alias("y1"))
+        x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+        parts = F.when(~cut, F.array(box(x0, y0, x1, y1))).when(wide, F.array(box(x0, y0, mx, y1), box(mx, y0, x1, y1))).otherwise(F.array(box(x0, y0, x1, my), box(x0, my, x1, y1)))
+        out = out.select("id", F.explode(parts).alias("b")).select("id", "b.*")
+    return out

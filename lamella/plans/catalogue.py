@@ -517,3 +517,62 @@ def quality_audit(spark: S, sf: str) -> DataFrame:
     repair = occlusion.needs_repair(x, occlusion.edges(x)).groupBy("image_id").agg(F.count("*").alias("n_layers"), F.count_if(F.col("mode") == "image").alias("n_image"), F.count_if("needs_repair").alias("n_repair"))
     sure = scoring.best(_candidates(x)).groupBy("image_id").agg(F.count_if(F.col("margin") < 0.15).alias("n_ambiguous"))
     return repair.join(sure, "image_id")
+
+
+# ---- prompts, manifests, points, splits
+
+
+@query(f"""WITH {LAYERS} SELECT image_id, string_agg(concat_ws(' ', id, (x0 * 10000 // {W})::VARCHAR, (y0 * 10000 // {H})::VARCHAR, (x1 * 10000 // {W})::VARCHAR, (y1 * 10000 // {H})::VARCHAR, trim(kind || ' ' || mode)), chr(10) ORDER BY ord) AS block FROM L GROUP BY 1""")
+def ocr_prompt_block(spark: S, sf: str) -> DataFrame:
+    x = layers(spark, sf).withColumn("text", F.concat("kind", F.lit("\n"), "mode", F.lit("\n")))
+    return gates.prompt_block(x, W, H)
+
+
+@query(f"""WITH {LAYERS}, DUP AS (SELECT a.image_id, b.id AS loser, a.id AS keeper FROM L a JOIN L b ON a.image_id = b.image_id AND b.ord = a.ord + 1 AND a.q % 6 = 0 AND b.q % 6 <> 0),
+    K AS (SELECT * FROM L WHERE q % 23 <> 0 AND NOT EXISTS (SELECT 1 FROM DUP WHERE DUP.image_id = L.image_id AND loser = L.id)), M AS (SELECT id, CASE WHEN q % 2 = 0 THEN 'surface' ELSE 'image-atlas' END AS method FROM L WHERE q % 4 <> 0),
+    AKA AS (SELECT image_id, keeper AS id, string_agg(loser, ',' ORDER BY loser) AS aka FROM DUP GROUP BY ALL)
+    SELECT K.image_id, K.id, row_number() OVER (PARTITION BY K.image_id ORDER BY K.z, K.id) AS position, method, aka FROM K LEFT JOIN M USING (id) LEFT JOIN AKA ON AKA.image_id = K.image_id AND AKA.id = K.id""")
+def manifest_rows(spark: S, sf: str) -> DataFrame:
+    x = layers(spark, sf)
+    a, b = x.filter("q % 6 = 0").alias("a"), x.filter("q % 6 <> 0").alias("b")
+    dup = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.ord") == F.col("a.ord") + 1)).select("a.image_id", F.col("b.id").alias("loser"), F.col("a.id").alias("keeper"))
+    log = x.filter("q % 4 <> 0").select("id", F.when(F.col("q") % 2 == 0, "surface").otherwise("image-atlas").alias("method"), F.lit(1).alias("ord"))
+    log = log.unionByName(log.withColumn("ord", F.lit(2)).withColumn("method", F.lit("again")))
+    return audit.manifest(x, log, dup, x.filter("q % 23 = 0").select("id"))
+
+
+_POINTS = f"""{SMALL}, PT AS (SELECT S.image_id, layer_id, CASE WHEN q % 2 = 0 THEN 'positive' ELSE 'negative' END AS kind, greatest(0, least({views.SMALL_W - 1}, x0 + q % 31 - 3)) AS px, greatest(0, least({views.SMALL_H - 1}, y0 + q % 13 - 1)) AS py, x0, y0, x1, y1 FROM S JOIN L ON S.image_id = L.image_id AND S.ord = L.ord)"""
+
+
+@query(f"WITH {_POINTS.replace('S.image_id, layer_id', 'S.image_id, S.layer_id').replace('x0 + q', 'S.x0 + q').replace('y0 + q', 'S.y0 + q').replace(', x0, y0, x1, y1 FROM S', ', S.x0, S.y0, S.x1, S.y1 FROM S')} SELECT image_id, kind, count(*) AS n, count(*) FILTER (px >= x0 AND px < x1 AND py >= y0 AND py < y1) AS n_hit FROM PT GROUP BY ALL")
+def points_in_masks(spark: S, sf: str) -> DataFrame:
+    x = layers(spark, sf)
+    s = small(x)
+    q = x.select("image_id", F.col("ord").alias("layer_id"), "q")
+    p = s.join(q, ["image_id", "layer_id"]).select("image_id", "layer_id", F.when(F.col("q") % 2 == 0, "positive").otherwise("negative").alias("kind"), (F.col("x0") + F.col("q") % 31 - 3).alias("px"), (F.col("y0") + F.col("q") % 13 - 1).alias("py"))
+    hits = raster.point_hits(p, raster.from_boxes(s), views.SMALL_W, views.SMALL_H)
+    return hits.groupBy("image_id", "kind").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hit"))
+
+
+@query(f"""WITH {SMALL}, D AS (SELECT DISTINCT image_id, l_suppkey % 95 AS y, l_partkey % 90 + 5 AS x FROM L), U AS (SELECT DISTINCT image_id, y, unnest(range(x0, x1)) AS x FROM R WHERE mode = 'image')
+    SELECT image_id, count(*) FILTER (U.x IS NULL) AS n_bad FROM D LEFT JOIN U USING (image_id, y, x) GROUP BY 1""")
+def lossless_check(spark: S, sf: str) -> DataFrame:
+    x = layers(spark, sf)
+    differ = x.select("image_id", (F.col("l_suppkey") % 95).alias("y"), (F.col("l_partkey") % 90 + 5).alias("x")).distinct()
+    return audit.lossless(differ, raster.union(raster.from_boxes(small(x).filter("mode = 'image'"))))
+
+
+_HALF = """SELECT id, unnest(CASE WHEN greatest(x1 - x0, y1 - y0) <= 60 THEN [{{'a': x0, 'b': y0, 'c': x1, 'd': y1}}] WHEN x1 - x0 >= y1 - y0 THEN [{{'a': x0, 'b': y0, 'c': x0 + (x1 - x0) // 2, 'd': y1}}, {{'a': x0 + (x1 - x0) // 2, 'b': y0, 'c': x1, 'd': y1}}]
+    ELSE [{{'a': x0, 'b': y0, 'c': x1, 'd': y0 + (y1 - y0) // 2}}, {{'a': x0, 'b': y0 + (y1 - y0) // 2, 'c': x1, 'd': y1}}] END) AS s FROM {t}"""
+
+
+@query(f"WITH {LAYERS}, " + ", ".join(f"H{k}s AS ({_HALF.format(t='L' if k == 1 else f'H{k - 1}')}), H{k} AS (SELECT id, s.a AS x0, s.b AS y0, s.c AS x1, s.d AS y1 FROM H{k}s)" for k in (1, 2, 3, 4)) + " SELECT * FROM H4")
+def split_regions(spark: S, sf: str) -> DataFrame:
+    return raster.halves(layers(spark, sf).select("id", "x0", "y0", "x1", "y1"), 60)
+
+
+@query(f"""WITH {LAYERS}, M AS (SELECT image_id, l_linenumber AS layer_id, (q % 20) / 20.0::DOUBLE + 0.05 AS value FROM L), G AS (SELECT image_id, layer_id, count(*) AS n, count(*) FILTER (value >= 0.85) AS n_good, avg(value) FILTER (value >= 0.85) AS mean_good FROM M GROUP BY ALL)
+    SELECT image_id, layer_id, n_good, floor(mean_good * 10000 + 0.001)::BIGINT AS mean_good FROM G WHERE n_good >= greatest(2, ceil(0.1 * n))""")
+def template_consensus(spark: S, sf: str) -> DataFrame:
+    m = layers(spark, sf).select("image_id", F.col("l_linenumber").alias("layer_id"), (F.col("q") % 20 / 20.0 + 0.05).alias("value"))
+    return gates.consensus(m, share=0.1).withColumn("mean_good", F.floor(F.col("mean_good") * 10000 + 0.001))
