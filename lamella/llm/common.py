@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,12 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with its session's Arrow batches held to so many rows: whole texts can be long, and a Python worker has little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(key, str(rows))
+def small_batches(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> DataFrame:
+    """df, with its session's Arrow batches held to so many rows and bytes: texts can be long, and a Python worker has little memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(df.sparkSession.conf.get(key).rstrip("b"))  # a size is given back in bytes
+        if now <= 0 or now > most:
+            df.sparkSession.conf.set(key, str(most))
     return df
 
 
@@ -47,6 +48,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: later steps neither compute it again nor depend on an executor."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    gc.collect()  # shuffle files that only the written plan needed go when the driver's objects go
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path  # type: ignore[attr-defined]
     return out

@@ -35,8 +35,8 @@ STATES, ROUNDS, TOP, BUCKETS, SMOOTH, SEED = 6, 4, 2048, 256, 20.0, 11
 #: Classes: the words of their own, buckets, the end, unknown words.
 END, UNKNOWN = TOP + BUCKETS, TOP + BUCKETS + 1
 CLASSES = UNKNOWN + 1
-#: Tokens that go through a recursion side by side.
-TOGETHER = 400_000
+#: Bytes of text of a block; tokens that go through a recursion side by side.
+BLOCK, TOGETHER = 8 << 20, 200_000
 _LN10 = float(np.log(10))
 
 BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, words array<string>, train array<long>, ids binary"
@@ -53,16 +53,31 @@ def _from_planes(data: bytes) -> np.ndarray:
     return b[0] | b[1] << 8 | b[2] << 16
 
 
+def _gathered(batches):
+    """doc_ids, held_out, texts of blocks of about BLOCK bytes."""
+    ids, held, kept, size = [], [], [], 0
+    for batch in batches:
+        for k, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts(batch), strict=True):
+            ids.append(k)
+            held.append(h)
+            kept.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield ids, np.array(held, bool), kept
+                ids, held, kept, size = [], [], [], 0
+    if ids:
+        yield ids, np.array(held, bool), kept
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Blocks of rows of docs(doc_id, text): distinct words, how often training rows have them, texts as numbers of words."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for doc_ids, held, held_texts in _gathered(batches):
             numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
             ids, sizes = [], []
-            for text in texts(batch):
+            for text in held_texts:
                 ws = text.lower().split()
                 ids.append(np.fromiter(map(numbers.__getitem__, ws), np.int32, len(ws)))
                 sizes.append(len(ws))
@@ -75,7 +90,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             words = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(order))
             one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | seq], pa.int64()), one(batch.column("doc_id")), one(batch.column("held_out")), one(pa.array(sizes, pa.int32())), one(words), one(pa.array(in_train[order], pa.int64())), pa.array([_planes(rank[flat])], pa.binary())],
+                [pa.array([part << 32 | seq], pa.int64()), one(pa.array(doc_ids, pa.int64())), one(pa.array(held)), one(pa.array(sizes, pa.int32())), one(words), one(pa.array(in_train[order], pa.int64())), pa.array([_planes(rank[flat])], pa.binary())],
                 names=["block", "doc_id", "held_out", "n", "words", "train", "ids"],
             )
             seq += 1
