@@ -8,7 +8,7 @@ that come most often more than once in a block of documents; any order gives the
 out of prefixes.) Two sets of Jaccard T or more share a shingle within the first n - ceil(T n) + 1 of each, and, as those
 prefixes are longer than most pairs need, a number of shingles in them that grows with the sets: bound(). Each fragment
 has the prefix shingles of its range, counts for pairs of sets how many they share in it, and the counts are summed for each pair:
-pairs below the bound are dropped. What is left is verified the same way, with whole sets cut into PARTS ranges, overlaps
+pairs below the bound are dropped (in the second pass, those of which no fragment has its share of the bound). What is left is verified the same way, with whole sets cut into PARTS ranges, overlaps
 counted in each and summed.
 
 Not all pairs are counted. First, within each list (the sets that have a shingle) only pairs with the list's centre, by
@@ -37,8 +37,8 @@ from lamella.llm.components import components
 WORDS, T = 5, (75, 100)
 #: Shingles of the order's end, and how often one comes in a block of documents to be counted for it.
 HEAVY, OFTEN = 1 << 18, 2
-#: Prefix shingles of a fragment, on average; documents of a group of verification; ranges in it; sets of a list's block.
-PER_FRAGMENT, PER_GROUP, PARTS, SPLIT = 250_000, 400, 4, 4000
+#: Prefix shingles of a fragment, on average; fragments of the second pass, at least; documents of a group of verification; ranges in it; sets of a list's block.
+PER_FRAGMENT, FEW, PER_GROUP, PARTS, SPLIT = 250_000, 8, 400, 4, 4000
 WORDS_KEPT = 150_000
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_FACTOR, k, 1 << 64)) for k in range(WORDS)]
@@ -252,11 +252,13 @@ PAIRS = "a long, b long, na long, nb long, n long"
 
 
 def _across(key, table):
-    """Of a fragment's lists (key, u, n, label, block): pairs of different labels whose sizes allow T, with how many lists
-    they share here. Where the group is a pair of different blocks, pairs across these only."""
+    """Of a fragment's lists (key, u, n, label, block): pairs of different labels whose sizes allow T and that share as many
+    lists here as at least one fragment must have of a pair that makes the bound. Where the group is a pair of different
+    blocks, pairs across these only."""
     t = table.sort_by([("key", "ascending"), ("label", "ascending"), ("u", "ascending")])
     k, u, n, label, block = (t[x].to_numpy() for x in ("key", "u", "n", "label", "block"))
-    across = key[1].as_py() != key[2].as_py()
+    across, alone = key[1].as_py() != key[2].as_py(), key[2].as_py() == 0
+    fragments = int(table["fragments"][0].as_py())
     out, size = [], 0
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     kind = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i8"), ("nb", "<i8")])
@@ -292,6 +294,15 @@ def _across(key, table):
         kept.append(_counted(np.concatenate(out)))
     p = np.concatenate([x for x, _ in kept]) if kept else np.zeros(0, kind)
     c = np.concatenate([x for _, x in kept]) if kept else np.zeros(0, np.int64)
+    if len(kept) > 1:
+        by = np.lexsort((p["b"], p["a"]))
+        p, c = p[by], c[by]
+        new = np.flatnonzero(np.append(True, (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])))
+        p, c = p[new], np.add.reduceat(c, new)
+    if alone:  # of the counts that make the bound together one is at least its share; parts of long lists are not weighed alone
+        na, nb = p["na"], p["nb"]
+        least = np.maximum(1, needed(na, nb) - np.maximum(na - prefix(na), nb - prefix(nb)))
+        p, c = p[c * fragments >= least], c[c * fragments >= least]
     return pa.table([pa.array(p["a"]), pa.array(p["b"]), pa.array(p["na"]), pa.array(p["nb"]), pa.array(c)], names=["a", "b", "na", "nb", "n"])
 
 
@@ -384,9 +395,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = staged(lists, "lists")
     mixed = lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size")).filter("l <> m").select("key", F.ceil(F.col("size") / F.lit(SPLIT)).alias("blocks"))
     mixed = lists.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    mixed = mixed.select("fragment", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "u", "n", "label", "block")
-    across = mixed.groupBy("fragment", "x", "y").applyInArrow(_across, PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    second = verified(across.filter(F.col("n") >= bound(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), classes, docs)
+    mixed = staged(mixed.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "u", "n", "label", "block"), "mixed")
+    few = max(FEW, -(-mixed.count() // PER_FRAGMENT))  # the fewer fragments, the more a fragment must have of a pair
+    mixed = mixed.withColumn("fragment", F.pmod("key", F.lit(few))).withColumn("fragments", F.lit(few))
+    across = mixed.groupBy("fragment", "x", "y").applyInArrow(_across, PAIRS)
+    second = verified(across.select("a", "b", "na", "nb").distinct(), classes, docs)
     label = staged(components(first.unionByName(second)), "labels")
     least = classes.join(label.withColumnRenamed("node", "u"), "u").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = label.join(least, "label").select(F.col("node").alias("u"), "component_id")
