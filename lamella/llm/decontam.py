@@ -5,7 +5,8 @@ placeholder <num>, a unit after it or on its own <unit>, a word with a capital t
 capitals <name>; other words are lower-cased. Windows of WINDOW such tokens with at least LITERALS that are no placeholders are
 joined by hash, and the join's pairs are aligned by document, item and distance of the positions. In an aligned run
 the slots are compared: a value of the item must always stand for one value of the document and the other way round, in each type; then
-the run is the item's text, re-parameterised or (all equal) as it is. A document is contaminated by an item if a consistent run is RUN windows
+the run is the item's text, re-parameterised or (all equal) as it is. Where a window contradicts those before it the run is split, and
+each longest consistent part counts for itself. A document is contaminated by an item if a consistent run is RUN windows
 long, or for an item of fewer windows all but one of them.
 
 What is sent: the windows of documents that may be in the benchmark. A bitmap of fixed size (BITS) of the benchmark's window
@@ -21,6 +22,7 @@ read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +133,47 @@ def _emit(of: str, batches, keep=None):
             done += len(held)
 
 
+def consistent(windows: list[list[tuple[str, str]]]) -> list[tuple[int, int]]:
+    """The longest parts [begin, end) of aligned windows, each given by its pairs of slots (item, document), in which a value
+    of the item stands for one value of the document and the other way round. None lies within another."""
+    there, back, n = {}, {}, Counter()
+    out, begin = [], 0
+    for k, pairs in enumerate(windows):
+        pairs = set(pairs)
+        if len({i for i, _ in pairs}) < len(pairs) or len({d for _, d in pairs}) < len(pairs):
+            out.append((begin, k))
+            there, back, n, begin = {}, {}, Counter(), k + 1
+            continue
+        if any(there.get(i, d) != d or back.get(d, i) != i for i, d in pairs):
+            out.append((begin, k))
+            while any(there.get(i, d) != d or back.get(d, i) != i for i, d in pairs):
+                for i, d in set(windows[begin]):
+                    n[i, d] -= 1
+                    if not n[i, d]:
+                        del n[i, d], there[i], back[d]
+                begin += 1
+        for i, d in pairs:
+            there[i], back[d] = d, i
+            n[i, d] += 1
+    out.append((begin, len(windows)))
+    return [(a, b) for a, b in out if b > a]
+
+
+def _parts(batches):
+    """For each consistent part of an aligned run its windows, begin, slots and those changed."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "run", "begin", "slots", "changed")])
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            doc, item, begin, held = (batch.column(c)[k].as_py() for c in ("doc_id", "item_id", "begin", "windows"))
+            windows = [list(zip(w["islots"], w["slots"], strict=True)) for w in held]
+            for a, b in consistent(windows):
+                pairs = set().union(*windows[a:b])
+                rows.append((doc, item, b - a, begin + a, len(pairs), sum(i != d for i, d in pairs)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+
+
 def _chunks(each):
     held, size = [], 0
     for text in each:
@@ -173,10 +216,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
     runs = pairs.withColumn("island", F.col("ipos") - F.row_number().over(line)).groupBy("doc_id", "item_id", "shift", "island")
     # a run has no more windows than its item
-    runs = runs.agg(F.count("*").alias("run"), F.min("pos").alias("begin"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x.getField(side))))
-    runs = runs.filter((one("i") == F.size("pairs")) & (one("d") == F.size("pairs")))
+    runs = runs.agg(F.min("pos").alias("begin"), F.array_sort(F.collect_list(F.struct("ipos", "islots", "slots"))).alias("windows")).select("doc_id", "item_id", "begin", "windows")
+    runs = small_batches(runs).mapInArrow(_parts, "doc_id long, item_id long, run long, begin long, slots long, changed long")
     runs = runs.join(sizes, "item_id").filter(F.col("run") >= F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("item_windows") - 1)))
-    changed = F.size(F.filter("pairs", lambda x: x.getField("i") != x.getField("d")))
-    best = runs.groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("run", -F.col("begin"), F.size("pairs").alias("slots"), changed.alias("changed"))).alias("m"))
+    best = runs.groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("run", -F.col("begin"), F.col("slots").cast("int").alias("slots"), F.col("changed").cast("int").alias("changed"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.run").alias("run"), "item_windows", (-F.col("m.col2")).alias("begin"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed"))

@@ -225,6 +225,23 @@ def test_decontamination(spark, none):
     assert contamination(none, items).count() == 0 and contamination(spark.createDataFrame(rows, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_decontamination_split_runs(spark):
+    from lamella.llm.decontam import consistent, contamination
+
+    item = "A train leaves Paris at 9 with 120 people and reaches Lyon after 4 hours so how many people per hour did the train from Paris carry when 120 stayed"
+    uneven = item.replace("with 120", "with 75")
+    broken = item.replace("120 stayed", "75 " + "and then it goes on in quite another way than before")
+    mixed = " ".join(w if k % 2 else w + str(k) for k, w in enumerate(item.split()))
+    rows = [(1, uneven), (2, broken), (3, item.replace("120", "75")), (4, mixed)]
+    got = {r.doc_id: r for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].changed == 1 and got[1].run == 21 and got[1].begin == 0
+    assert got[2].changed == 0 and got[2].run == 21 and got[2].begin == 0
+    assert got[3].changed == 1 and got[3].run == 23
+    same, other = ("1:2", "1:2"), ("1:2", "1:3")
+    assert consistent([[same], [same], [other], [other], [same, other], [same]]) == [(0, 2), (2, 4), (5, 6)] and consistent([]) == []
+
+
 # ---- 5
 
 
