@@ -3,18 +3,19 @@
 Words are cut at ASCII white space and freed of the marks around them. A number (with its separators, sign, %) becomes the
 placeholder <num>, a unit after it or on its own <unit>, a word with a capital that doesn't begin a sentence and isn't all in
 capitals <name>; other words are lower-cased. Windows of WINDOW such tokens with at least LITERALS that are no placeholders are
-joined by hash, and the join's pairs are aligned by document, item and distance of the positions. In an aligned run
+joined by hash, and all windows also by their lower-cased words as they are, so that a verbatim copy goes on through numbers and names; the join's pairs are aligned by document, item and distance of the positions. In an aligned run
 the slots are compared: a value of the item must always stand for one value of the document and the other way round, in each type; then
 the run is the item's text, re-parameterised or (all equal) as it is. Where a window contradicts those before it the run is split, and
 each longest consistent part counts for itself. A document is contaminated by an item if a consistent run is RUN windows
-long, or for an item of fewer windows all but one of them.
+long, or for an item of fewer windows all but one of them, or if it has as much of the item's windows with enough literals alone. An item of
+fewer than WINDOW words is one sequence, found where its words stand as they are (an item of one word wherever that word is).
 
 What is sent: the windows of documents that may be in the benchmark. A bitmap of fixed size (BITS) of the benchmark's window
 hashes goes to the tasks; windows that fall on a set bit are the candidates of an exact hash join, which Spark
 plans by size. A benchmark that outgrows the bitmap makes more candidates, never other results. Items that are equal word for
 word are one, of the smallest id, so that a text that many items share isn't joined with each of them.
 
-Null and empty texts, and items or texts of fewer than WINDOW words, match nothing. Rows of the same doc_id are one document in
+Null and empty texts match nothing. Rows of the same doc_id are one document in
 the result; a null id is kept as null. An empty table gives an empty result. Very long texts are read whole. Only doc_id, item_id and text are
 read.
 """
@@ -48,6 +49,7 @@ _NUMBER = re.compile(rb"[+-]?\d[\d.,:/_-]*%?$")
 _GLUED = re.compile(rb"([+-]?\d[\d.,]*)([a-z%/]+)$")
 NUM, UNIT, NAME = 1, 2, 3
 _PLACES = np.array([0, *(xxhash.xxh64_intdigest(x) for x in (b"<num>", b"<unit>", b"<name>"))], np.uint64)
+_EMPTY = np.uint64(xxhash.xxh64_intdigest(b""))
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_FACTOR, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
@@ -79,9 +81,10 @@ class Templates:
         self.kinds.append(kind | (4 if _END.search(word) else 0))
         return n
 
-    def windows(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-        """For each window with enough literals its document, position and hash; the documents' words; all tokens' kinds,
-        one text after the other."""
+    def windows(self, docs: list[bytes], short: tuple[int, ...] | None = None) -> tuple:
+        """For each window its document, position, hash, length, whether it has enough literals and is hashed as it is; the documents' words; all tokens'
+        kinds, one text after the other. Windows have WINDOW words, or any length in short; without short, texts of fewer words are
+        one window. Windows with slots and enough literals are there twice, as template and as they are."""
         if len(self.known) > WORDS_KEPT:
             self.clear()
         split = [d.split() for d in docs]
@@ -97,19 +100,33 @@ class Templates:
         begins[1:] |= kinds[:-1] >= 4
         kind = kinds & 3
         kind[(kind == NAME) & begins] = 0
-        h = np.where(kind > 0, _PLACES[kind], np.array(self.hashes, np.uint64)[k] if n else np.zeros(0, np.uint64))
-        m = n - WINDOW + 1
-        if m <= 0:
-            z = np.zeros(0, np.int64)
-            return z, z, z.astype(np.uint64), split, kind
-        with np.errstate(over="ignore"):
-            total = sum(h[j : j + m] * _POWERS[j] for j in range(WINDOW))
-            total ^= total >> np.uint64(29)
-        literal = np.concatenate(([0], np.cumsum(kind == 0)))
+        raw = np.array(self.hashes, np.uint64)[k] if n else np.zeros(0, np.uint64)
+        h = np.where(kind > 0, _PLACES[kind], raw)
         owner = np.repeat(np.arange(len(docs)), sizes)
-        good = (owner[:m] == owner[WINDOW - 1 :]) & (literal[WINDOW:] - literal[:-WINDOW] >= LITERALS)
-        at = np.flatnonzero(good)
-        return owner[at], at - first[owner[at]], total[at], split, kind
+        literal = np.concatenate(([0], np.cumsum(kind == 0)))
+        found = []
+        for size in sorted({WINDOW, *(range(1, WINDOW) if short is None else short)}):
+            m = n - size + 1
+            if m <= 0:
+                continue
+            at = np.flatnonzero(owner[:m] == owner[size - 1 :])
+            if size < WINDOW and short is None:
+                at = at[sizes[owner[at]] == size]
+                at = at[[bool((raw[a : a + size] != _EMPTY).any()) for a in at.tolist()]] if len(at) else at
+            literals = literal[at + size] - literal[at]
+            good = (literals >= LITERALS) & (size == WINDOW)
+            held = [(at, raw, good, True)]
+            if size == WINDOW:
+                held.append((at[good & (literals < size)], h, good[good & (literals < size)], False))
+            for a, of, enough, plain in held:
+                with np.errstate(over="ignore"):
+                    total = sum(of[j : j + m] * _POWERS[j] for j in range(size))
+                    total ^= total >> np.uint64(29)
+                found.append((a, total[a], np.full(len(a), size), enough, np.full(len(a), plain)))
+        if not found:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))]
+        at, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        return owner[at], at - first[owner[at]], *rest, split, kind
 
 
 def slots_of(words: list[bytes], kinds: np.ndarray) -> list[str]:
@@ -117,19 +134,30 @@ def slots_of(words: list[bytes], kinds: np.ndarray) -> list[str]:
     return [f"{int(k)}:{w.strip(_AROUND).lower().decode('utf-8', 'replace')}" for w, k in zip(words, kinds.tolist(), strict=True) if k]
 
 
-def _emit(of: str, batches, keep=None):
+#: Columns of windows: their slots, whether they have enough literals, are hashed as they are, and their words.
+_COLUMNS = "h long, {} long, pos long, slots array<string>, good boolean, plain boolean, length long"
+
+
+def _emit(of: str, batches, keep=None, short=None):
     t = Templates()
-    schema = pa.schema([("h", pa.int64()), (of, pa.int64()), ("pos", pa.int64()), ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([("h", pa.int64()), (of, pa.int64()), ("pos", pa.int64()), ("slots", pa.list_(pa.string())), ("good", pa.bool_()), ("plain", pa.bool_()), ("length", pa.int64())])
     for batch in batches:
         ids, done = batch.column(of).to_pylist(), 0
         for held in _chunks(texts(batch)):
-            doc, pos, h, split, kind = t.windows(held)
+            *columns, split, kind = t.windows(held, short)
             if keep is not None:
-                hit = keep(h)
-                doc, pos, h = doc[hit], pos[hit], h[hit]
+                hit = keep(columns[2])
+                # of a short item's places in a text the first will do
+                few = hit[columns[3][hit] < WINDOW]
+                if len(few):
+                    _, at = np.unique(np.stack((columns[0][few].astype(np.uint64), columns[2][few])), axis=1, return_index=True)
+                    hit = np.concatenate((hit[columns[3][hit] >= WINDOW], few[at]))
+                columns = [c[hit] for c in columns]
+            doc, pos, h, length, good, plain = columns
             first = np.concatenate(([0], np.cumsum([len(ws) for ws in split])))
-            slots = [slots_of(split[d][p : p + WINDOW], kind[first[d] + p : first[d] + p + WINDOW]) for d, p in zip(doc.tolist(), pos.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([ids[done + d] for d in doc.tolist()], pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string()))], schema=schema)
+            slots = [slots_of(split[d][p : p + n], kind[first[d] + p : first[d] + p + n]) for d, p, n in zip(doc.tolist(), pos.tolist(), length.tolist(), strict=True)]
+            out = pa.array(h.view(np.int64)), pa.array([ids[done + d] for d in doc.tolist()], pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(good), pa.array(plain), pa.array(length, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(out), schema=schema)
             done += len(held)
 
 
@@ -160,8 +188,8 @@ def consistent(windows: list[list[tuple[str, str]]]) -> list[tuple[int, int]]:
 
 
 def _parts(batches):
-    """For each consistent part of an aligned run its windows, begin, slots and those changed."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "run", "begin", "slots", "changed")])
+    """For each consistent part of an aligned run its windows, those with enough literals, begin, slots and those changed."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "run", "good", "begin", "slots", "changed")])
     for batch in batches:
         rows = []
         for k in range(batch.num_rows):
@@ -169,7 +197,7 @@ def _parts(batches):
             windows = [list(zip(w["islots"], w["slots"], strict=True)) for w in held]
             for a, b in consistent(windows):
                 pairs = set().union(*windows[a:b])
-                rows.append((doc, item, b - a, begin + a, len(pairs), sum(i != d for i, d in pairs)))
+                rows.append((doc, item, b - a, sum(w["good"] for w in held[a:b]), begin + a, len(pairs), sum(i != d for i, d in pairs)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
@@ -190,8 +218,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, and of the longest consistent run: run (windows), item_windows, begin (word of the document), slots, changed
     (slots with another value than the item's). A row for each contaminated document and item."""
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    bench = staged(small_batches(bench).mapInArrow(lambda b: _emit("item_id", b), "h long, item_id long, pos long, slots array<string>"), "benchmark-windows")
-    sizes = bench.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"))
+    bench = staged(small_batches(bench).mapInArrow(lambda b: _emit("item_id", b), _COLUMNS.format("item_id")), "benchmark-windows")
+    sizes = bench.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(F.col("good"), F.col("pos"))).alias("good_windows"))
+    short = tuple(r.length for r in bench.filter(F.col("length") < WINDOW).select("length").distinct().collect())
     # the bitmap: at most BITS / PART rows of 4 KB
     bit = F.pmod("h", F.lit(BITS))
     parts = bench.groupBy((bit / F.lit(PART)).cast("long").alias("part")).agg(F.bitmap_construct_agg((bit % F.lit(PART)).cast("long")).alias("bitmap")).collect()
@@ -207,17 +236,20 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             at = (h & np.uint64(BITS - 1)).astype(np.int64)
             return np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
 
-        yield from _emit("doc_id", batches, keep)
+        yield from _emit("doc_id", batches, keep, short)
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(candidates, "h long, doc_id long, pos long, slots array<string>")
-    pairs = found.join(bench.select("h", "item_id", F.col("pos").alias("ipos"), F.col("slots").alias("islots")), "h").filter(F.size("slots") == F.size("islots"))
+    found = rows.mapInArrow(candidates, _COLUMNS.format("doc_id")).select("h", "doc_id", "pos", "slots", "plain")
+    pairs = found.join(bench.select("h", "item_id", "good", F.col("pos").alias("ipos"), F.col("slots").alias("islots")), "h")
+    # equal as they are: each value stands for itself, whatever the case and place of its words make of it
+    pairs = pairs.withColumn("slots", F.when(F.col("plain"), F.col("islots")).otherwise(F.col("slots"))).filter(F.size("slots") == F.size("islots"))
     pairs = pairs.withColumn("shift", F.col("pos") - F.col("ipos")).dropDuplicates(["doc_id", "item_id", "shift", "ipos"])
     line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
     runs = pairs.withColumn("island", F.col("ipos") - F.row_number().over(line)).groupBy("doc_id", "item_id", "shift", "island")
     # a run has no more windows than its item
-    runs = runs.agg(F.min("pos").alias("begin"), F.array_sort(F.collect_list(F.struct("ipos", "islots", "slots"))).alias("windows")).select("doc_id", "item_id", "begin", "windows")
-    runs = small_batches(runs).mapInArrow(_parts, "doc_id long, item_id long, run long, begin long, slots long, changed long")
-    runs = runs.join(sizes, "item_id").filter(F.col("run") >= F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("item_windows") - 1)))
+    runs = runs.agg(F.min("pos").alias("begin"), F.array_sort(F.collect_list(F.struct("ipos", "islots", "slots", "good"))).alias("windows")).select("doc_id", "item_id", "begin", "windows")
+    runs = small_batches(runs).mapInArrow(_parts, "doc_id long, item_id long, run long, good long, begin long, slots long, changed long")
+    enough = lambda n, of: F.col(n) >= F.greatest(F.lit(1), F.least(F.lit(RUN), F.col(of) - 1))
+    runs = runs.join(sizes, "item_id").filter(enough("run", "item_windows") | enough("good", "good_windows"))
     best = runs.groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("run", -F.col("begin"), F.col("slots").cast("int").alias("slots"), F.col("changed").cast("int").alias("changed"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.run").alias("run"), "item_windows", (-F.col("m.col2")).alias("begin"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed"))

@@ -242,6 +242,17 @@ def test_decontamination_split_runs(spark):
     assert consistent([[same], [same], [other], [other], [same, other], [same]]) == [(0, 2), (2, 4), (5, 6)] and consistent([]) == []
 
 
+def test_decontamination_short_and_numbers(spark):
+    from lamella.llm.decontam import contamination
+
+    items = [(1, "Which number comes next after 2 4 8 16 32 64 128 256 in this list of numbers"), (2, "What is 7 times 8"), (3, "1 2 3 5 8 13 21 34 55 89"), (4, "Berlin leads the league by 9 points now"), (5, "*** ##")]
+    rows = [(k, f"so they said {t}, and went on") for k, t in items[:4]]
+    rows += [(11, items[0][1].replace("16 32", "17 33")), (12, "What is 7 times 9"), (13, "1 2 3 4 5 6 7 8 9 10 11"), (14, "*** ## and more"), (None, "What is 7 times 8? What is 7 times 8?"), (15, items[0][1].upper())]
+    got = {(r.doc_id, r.item_id): r for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (None, 2), (15, 1)} and not any(r.changed for r in got.values())
+    assert got[1, 1].run == got[1, 1].item_windows == 11 and got[2, 2].run == 1 and got[2, 2].begin == 3
+
+
 # ---- 5
 
 
