@@ -1,12 +1,13 @@
 """Licence recognition by sentences: known sentences have identifiers, licences are ordered sequences of them.
 
-A text is cut into sentences at . ! ? : ; before white space and at line feeds; a sentence is lower-cased and reduced to its letters
-and digits with single spaces. Known ones become their identifier, others "_" (several in a row once, empty ones
-never). The rules are tried in their order, the more specific first; each takes the places where its identifiers follow one
+A text is cut into sentences at . ! ? : ; before white space (not in "v. 2") and at blank lines; a sentence is lower-cased and
+reduced to its letters and digits with single spaces. A single line feed may end a sentence or be white space in one: the
+longest known sentence is taken. Known ones become their identifier, others "_" (empty ones and numbers of lists never). The rules are tried in their order, the more specific first; each takes the places where its identifiers follow one
 another without another sentence between, and what it has taken no later rule sees.
 
-All of it are expressions on a row: no shuffle, and the knowledge base (SENTENCES, RULES) is a literal of fixed size in the plan.
-Every known sentence has one of the ANCHORS, so texts without any need not be cut.
+All of it are expressions on a row: no shuffle, and the knowledge base (SENTENCES, RULES and the further STANDARD ones) is a literal of
+fixed size in the plan. Every known sentence has one of the anchors, so texts without any need not be cut. The SQL cuts at
+every line feed and has only SENTENCES and RULES; it agrees where each sentence stands on one line.
 
 Null and empty texts have no licence. A text with several licences has a row for each; one without has none. Repeated rows
 give repeated results. Very long texts are read whole. An empty table gives an empty result. Only doc_id and text are read.
@@ -85,23 +86,47 @@ RULES = (
     ("MPL-2.0", "mpl2-reference", ("mpl2-name",)),
 )
 ANCHORS = ("licen", "permi", "copyright", "redistribut", "warrant", "holders", "free software")
+#: Sentences and rules of standard texts that the SQL hasn't.
+STANDARD = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-redistribute-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-redistribute-later",
+    "this is free and unencumbered software released into the public domain": "unlicense-name",
+}
+STANDARD_RULES = (
+    ("GPL-3.0-or-later", "gpl3-header", ("gpl-free-licence", "gpl3-redistribute-later")),
+    ("GPL-2.0-or-later", "gpl2-header", ("gpl-free-licence", "gpl2-redistribute-later")),
+    ("Unlicense", "unlicense-reference", ("unlicense-name",)),
+)
 #: White space and sentence ends, as both Java's and RE2's expressions read them.
 _CUT, _OTHER = r"([.!?:;])[\x20\x09-\x0D]+", r"[^a-z0-9]+"
 
 
+def anchors() -> list[str]:
+    """Words of which every known sentence has one; a line feed within any of them can't hide it."""
+    out = [a for a in ANCHORS if " " not in a]
+    return out + sorted({max(k.split(), key=len) for k in {**SENTENCES, **STANDARD} if not any(a in k for a in out)})
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licence, rule, n_found for each licence rule that a text of docs(doc_id, text) has, and the number of its
     known sentences."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).filter(" OR ".join(f"contains(t, '{a}')" for a in ANCHORS))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.transform(F.split(F.regexp_replace("t", _CUT, "$1\n"), "\n"), lambda s: F.trim(F.regexp_replace(s, _OTHER, " ")))
-    ids = F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit("_")))
-    d = d.select("doc_id", ids.alias("ids")).filter("exists(ids, x -> x <> '_')")
-    marks = F.concat(F.lit("<"), F.array_join(F.col("ids"), "><"), F.lit(">"))
-    d = d.select("doc_id", F.size(F.filter("ids", lambda x: x != "_")).cast("long").alias("n_known"), marks.alias("s0"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).filter(" OR ".join(f"contains(t, '{a}')" for a in anchors()))
+    # a text as |sentence|sentence/after a single line feed|
+    t = F.regexp_replace("t", r"\bv\.[\x20\x09-\x0D]+(?=[0-9])", "v ")
+    t = F.regexp_replace(F.regexp_replace(t, _CUT, "\x01"), "\n", "\x02")
+    t = F.regexp_replace(t, r"[^a-z0-9\x01\x02]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, " ?(\x01|\x02 ?\x02)[ \x01\x02]*", "|"), " ?\x02 ?", "/")
+    t = F.regexp_replace(F.regexp_replace(F.concat(F.lit("|"), F.trim(t), F.lit("|")), r"[|/ ]*\|[|/ ]*", "|"), r"(?<=[|/])[0-9]+[|/]", "")
+    known = {**SENTENCES, **STANDARD}
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r"(?<=[|/])" + k.replace(" ", "[ /]") + r"(?=[|/])").alias("p"), F.lit(f"<{known[k]}>").alias("i")) for k in sorted(known, key=lambda k: (-len(k), k))])
+    # the text with and without its marks is bound once, then each known sentence that it has becomes its identifier
+    swap = lambda t, flat: F.aggregate(table, t, lambda s, x: F.when(F.contains(flat, x["k"]), F.regexp_replace(s, x["p"], x["i"])).otherwise(s))
+    t = F.transform(F.array(t), lambda t: F.transform(F.array(F.regexp_replace(t, "[|/]", " ")), lambda flat: swap(t, flat))[0])[0]
+    marks = F.regexp_replace(F.regexp_replace(t, r"(?<=[|/])[^|/<>]+(?=[|/])", "<_>"), "[|/]", "")
+    d = d.select("doc_id", marks.alias("s0")).withColumn("n_known", F.regexp_count("s0", F.lit("<[^_>]+>")).cast("long"))
     found = []
-    for k, (licence, rule, sequence) in enumerate(RULES):
+    for k, (licence, rule, sequence) in enumerate((*RULES, *STANDARD_RULES)):
         mark = "".join(f"<{x}>" for x in sequence)
         d = d.withColumn(f"s{k + 1}", F.replace(F.col(f"s{k}"), F.lit(mark), F.lit("#")))
         n = (F.length(f"s{k}") - F.length(f"s{k + 1}")) / F.lit(len(mark) - 1)

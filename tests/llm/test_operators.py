@@ -495,3 +495,35 @@ def test_token_files(docs, none, monkeypatch):
     e = bitpack.WordEncoder(path, kept=40)
     for part in (ODD, VOCAB, ODD):
         assert all(np.array_equal(x, library.encode(t, add_special_tokens=False).ids) for t, x in zip(part, e.encode([t.encode() for t in part]), strict=True))
+
+
+def test_licences_of_wrapped_standard_texts(spark):
+    import textwrap
+
+    from lamella.llm.licences import SENTENCES, STANDARD, anchors, scan
+
+    assert all(any(a in k for a in anchors()) for k in {**SENTENCES, **STANDARD})
+    by = {}
+    for k, i in SENTENCES.items():
+        by[i] = max(k, by.get(i, ""), key=len)
+    full = lambda *ids: ". ".join(by[i] for i in ids) + "."
+    bsd = [by[i] for i in ("bsd-permission", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    texts = {
+        "mit-full": full("mit-grant", "mit-notice", "mit-warranty", "mit-liability"),
+        "bsd-3": f"{bsd[0]}:\n\n1. {bsd[1]}.\n\n2. {bsd[2]}.\n\n3. {bsd[3]}.\n\n{bsd[4]}.",
+        "bsd-2": f"{bsd[0]}:\n\n1. {bsd[1]}.\n\n2. {bsd[2]}.\n\n{bsd[4]}.",
+        "gpl3-header": gpl,
+        "gpl2-header": gpl.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"),
+        "mpl2-reference": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed",
+        "unlicense-reference": "This is free and unencumbered software released into the public domain.",
+        "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    }
+    fill = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    comment = lambda t: "\n".join(" * " + line for line in t.split("\n"))
+    for form in (lambda t: t, lambda t: fill(t, 72), lambda t: fill(t, 30), lambda t: comment(fill(t, 72))):
+        rows = [(k, "Some words before\n\n" + form(t)) for k, t in enumerate(texts.values())]
+        got = {r.doc_id: r.rule for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == dict(enumerate(texts))
+    lines = "words without an end\nMIT License\nother words"
+    assert [(r.rule, r.n_known) for r in scan(spark.createDataFrame([(1, lines)], "doc_id long, text string")).collect()] == [("mit-heading", 1)]
