@@ -446,6 +446,14 @@ def paint_topmost(spark: S, sf: str) -> DataFrame:
     return raster.topmost(runs, 4)
 
 
+@query(f"WITH {SMALL}, PX AS (SELECT image_id, y, unnest(range(x0, x1)) AS x, layer_id, z, ord FROM R), O AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY z DESC, ord DESC) AS k FROM PX) SELECT image_id, y, x, layer_id FROM O WHERE k = 1")
+def paint_topmost_pixels(spark: S, sf: str) -> DataFrame:
+    """Every pixel; paint_topmost is its sample at every fourth row and column."""
+    s = small(layers(spark, sf))
+    runs = s.filter("x1 > x0 and y1 > y0").select("image_id", "layer_id", "z", "ord", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
+    return raster.topmost(runs, 1)
+
+
 @query(f"""WITH {SMALL}, PX AS (SELECT image_id, layer_id, y, unnest(range(x0, x1)) AS x FROM R WHERE mode = 'image'), B AS (SELECT DISTINCT image_id, y, unnest(range(x0, x1)) AS x FROM R WHERE mode = 'surface')
     SELECT image_id, layer_id, count(*) AS pixels FROM PX ANTI JOIN B USING (image_id, y, x) GROUP BY ALL""")
 def mask_subtract(spark: S, sf: str) -> DataFrame:
