@@ -56,7 +56,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of every node in edges(a, b)."""
+    """node, label (the least node of its component) of every node in edges(a, b). Edges of a node with itself and repeated ones add
+    nothing, no edge may have a null, and no edges give no rows."""
     now = staged(edges.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contracted, "a long, b long").distinct(), "edges")
     seen = None
     while True:
@@ -68,4 +69,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     # a forest of stars now: a is the least node
-    return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    out._staged_path = now._staged_path  # type: ignore[attr-defined]
+    return out
