@@ -102,6 +102,19 @@ def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked.filter(~F.col(flag)).unionByName(rest).select(*df.columns)
 
 
+#: Keys with a HOT-th of all rows or more, so HOT at most, are broadcast by met().
+HOT = 1000
+
+
+def met(df: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """df joined (inner) with `of`, which has each key once and in `rows` how many rows of df have it, total the rows of all keys. No
+    key's rows meet in one task: keys with many are few, and are broadcast."""
+    hot = of.filter(F.col("rows") > max(1, total // HOT))
+    many = df.join(F.broadcast(hot.drop("rows")), key)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(of.drop("rows"), key)
+    return many.unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; of null, an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import discard, fresh, sieve, small_batches, staged, texts, without
+from lamella.llm.common import discard, fresh, met, sieve, small_batches, staged, texts, without
 from lamella.llm.components import components
 
 WORDS, T = 5, (75, 100)
@@ -47,8 +47,6 @@ WORDS, T = 5, (75, 100)
 SLOTS, BLOCK, STEPS, FLUSH = 1 << 24, 1 << 16, 12, 60
 #: Shingles of a fragment; prefixes that a task cuts at a time; pairs of a group of verification; ranges in it; sets of a list's block.
 PER_FRAGMENT, TOGETHER, PER_GROUP, PARTS, SPLIT = 500_000, 500_000, 400, 4, 4000
-#: Classes with a thousandth of all rows or more: a thousand at most.
-HOT = 1000
 #: Lists up to so many sets are compared all at once.
 SHORT = 48
 WORDS_KEPT = 150_000
@@ -501,15 +499,9 @@ def _matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(rows: DataFrame, of_class: DataFrame) -> DataFrame:
-    """doc_id, place, n of rows with words, and of the component's first row component_id, component_place. A class with many rows is
-    in no one task: there are few such classes, which are broadcast."""
-    some, bound = rows.filter("n > 0"), max(1, rows.count() // HOT)
+    """doc_id, place, n of rows with words, and of the component's first row component_id, component_place."""
     of_class = of_class.select("u", "rows", F.col("doc_id").alias("component_id"), F.col("place").alias("component_place"))
-    hot = of_class.filter(F.col("rows") > bound).drop("rows")
-    marked = some.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "u", "left")
-    rest = some.join(F.broadcast(hot.select("u")), "u", "left_anti").join(of_class.drop("rows"), "u")
-    names = ["doc_id", "place", "n", "component_id", "component_place"]
-    return marked.filter("hot").select(*names).unionByName(rest.select(*names))
+    return met(rows.filter("n > 0"), of_class, "u", rows.count()).drop("u")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

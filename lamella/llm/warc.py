@@ -4,14 +4,18 @@ An ARC file begins with a version block whose second line names the version and
 header lines: five in version 1 (URL, IP address, date, type, length), ten in version 2 (and result code, checksum,
 location, offset, file name). Each record is one header line, then as many bytes as the line declares, then a line feed.
 The converter reads each file by its own version, takes the declared length as the only thing that ends a record, and
-writes for each record a WARC one: the identifier is a name-based UUID of file, offset and URL (so reruns agree), the
-date is the 14-digit date in ISO form, the type is response, or revisit for a payload that another record has, the digests are SHA-1 in
-base32. Files are compressed, each record a gzip member of its own.
-
-An archive file is the unit of work, bounded in bytes and records. Only a row of numbers per record is shuffled, to find
-equal payloads; the decisions go back as one row for each file, and payloads are read from the archives by the task that
-writes them out again. Equal payloads are first summed up by digest where they are read, so a payload that a third of the
-records share is no large group anywhere. Which record is the response: the one with the largest page id (null below all
+writes for each record a WARC one: the identifier is a name-based UUID of the file's title, offset, URL, date and payload digest
+(a title has no random part, so reruns over the same partitions agree), the date is the 14-digit date in ISO form, the digests are
+SHA-1 in base32. The version block becomes a warcinfo, content that begins with an HTTP status line a response, or a revisit for a
+payload that another response has, anything else (dns, ftp) a resource of its own type. A revisit names its response by the
+standard fields (WARC-Refers-To, its target URI and date), by which it is also found when the files are read. Files are
+compressed, each record a gzip member of its own.
+
+An archive file is the unit of work, bounded in bytes and records; a task takes files of TASK_BYTES together. Only a row of numbers
+per record is shuffled, to find equal payloads; the decisions go back as one row for each file, and payloads are read from
+the archives by the task that writes them out again. Equal payloads are first summed up by digest where they are read, and
+digests that a thousandth of the records share (a thousand at most) are broadcast, so a payload that a third of the records
+share is no large group anywhere. Which record is the response: the one with the largest page id (null below all
 others; then the last by file and offset). Payloads below `least` bytes are all responses.
 
 A null page id is written as none and comes back null; null html is an empty payload; a null URL is "-". White space in a URL is
@@ -27,6 +31,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,10 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import filesystem, new_path, small_batches, staged
+from lamella.llm.common import discard, filesystem, met, new_path, small_batches, staged
 
 #: A file is closed at so many bytes of content or records.
 FILE_BYTES, FILE_RECORDS = 24 << 20, 8192
+#: What a task reads at most, where there are enough files to keep all busy.
+TASK_BYTES = 256 << 20
 #: Rows are handed on so many at a time.
 ROWS = 2048
 ARC_FIELDS = {
@@ -134,18 +142,22 @@ def arc_line(version: int, url: str, date: str, kind: str, offset: int, name: st
     return f"{url} 0.0.0.0 {date} {kind} {more}{length}\n".encode()
 
 
-def arc_records(stream: Stream) -> Iterator[dict]:
-    """The records of an ARC file after its version block: the header's fields by name, offset and content."""
+def arc_records(stream: Stream, info: bool = False) -> Iterator[dict]:
+    """The records of an ARC file (with info, its version block first): the header's fields by name, offset, content and the kind of WARC record."""
     first = stream.line()
     if first is None:
         return
     if not first.startswith(b"filedesc:"):
         raise ValueError("an ARC file begins with filedesc:")
-    block = stream.take(int(first.rsplit(b" ", 1)[1])).split(b"\n")
+    content = stream.take(int(first.rsplit(b" ", 1)[1]))
+    block = content.split(b"\n")
     version = int(block[0].split()[0])
     fields = block[1].decode().split()
     if fields != ARC_FIELDS.get(version, "").split():
         raise ValueError(f"version {version} has other fields: {fields}")
+    parts = first.decode("utf-8", "replace").split(" ")
+    if info:
+        yield {"URL": parts[0], "IP-address": parts[1], "Archive-date": parts[2], "Content-type": parts[3], "offset": 0, "version": version, "content": content, "kind": "warcinfo"}
     stream.line()
     while True:
         offset = stream.at
@@ -159,7 +171,8 @@ def arc_records(stream: Stream) -> Iterator[dict]:
             spare = len(parts) - len(fields)
             parts[3 : 4 + spare] = [" ".join(parts[3 : 4 + spare])]
         record = dict(zip(fields, parts, strict=True))
-        yield record | {"offset": offset, "version": version, "content": stream.take(int(record["Archive-length"]))}
+        content = stream.take(int(record["Archive-length"]))
+        yield record | {"offset": offset, "version": version, "content": content, "kind": "response" if content.startswith(b"HTTP/") else "resource"}
 
 
 def http_parts(content: bytes) -> tuple[bytes, dict[str, str], bytes]:
@@ -191,7 +204,8 @@ class Rolling:
         if self.out is not None and (self.out.size >= FILE_BYTES or self.n >= FILE_RECORDS):
             self.close()
         if self.out is None:
-            self.name = f"{self.part:06d}-{self.seq:04d}-{uuid.uuid4().hex}{self.end}"
+            self.title = f"{self.part:06d}-{self.seq:04d}{self.end}"
+            self.name = f"{self.part:06d}-{self.seq:04d}-{uuid.uuid4().hex}{self.end}"  # of its own for each attempt of a task
             self.out, self.n, self.seq = Members(self.system.open_output_stream(f"{self.root}/{self.name}", compression=None)), 0, self.seq + 1
             if self.open_with:
                 self.out.add(self.open_with(self))
@@ -201,21 +215,28 @@ class Rolling:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.rows.append((f"{self.folder}/{self.name}", self.n))
+            self.rows.append((f"{self.folder}/{self.name}", self.n, self.out.size))
             self.out = None
 
 
-def _listed(rows: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+def title_of(path: str) -> str:
+    """The name of a file without what tells attempts of a task apart."""
+    return re.sub(r"-[0-9a-f]{32}(?=\.)", "", path.rsplit("/", 1)[1])
+
+
+def _listed(rows: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "records", "bytes"])
 
 
-FILES = "path string, records long"
+FILES = "path string, records long, bytes long"
 
 
-def _each(files: DataFrame) -> DataFrame:
-    """files with a task for each: the list itself is small enough to be coalesced into one."""
-    return files.repartitionByRange(max(1, files.count()), "path")
+def _each(files: DataFrame, of: DataFrame) -> DataFrame:
+    """The list `files` dealt out, about TASK_BYTES a task, or fewer where cores would have none; `of` lists the same files with their bytes."""
+    n, size = of.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    spread = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartitionByRange(max(1, min(n, spread), -(-size // TASK_BYTES)), "path")
 
 
 def write_arc(pages: DataFrame, folder: str, date: str = "20050101000000", type_: str = "text/html") -> DataFrame:
@@ -223,7 +244,7 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20050101000000", type_
 
     def write(batches):
         files = Rolling(folder, ".arc.gz")
-        files.open_with = lambda r: arc_version_block(1 + r.seq % 2, r.name)
+        files.open_with = lambda r: arc_version_block(1 + r.seq % 2, r.title)
         for batch in batches:
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url"), batch.column("html").cast(pa.large_binary()), strict=True):
                 body = html.as_py() or b""
@@ -232,50 +253,59 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20050101000000", type_
                 out = files.file()
                 version = 1 + files.seq % 2
                 checksum = "-" if version == 1 else digest(body)
-                out.add(arc_line(version, url_of(url.as_py()), date, type_, out.at, files.name, checksum, len(head) + len(body)), head, body, b"\n")
+                out.add(arc_line(version, url_of(url.as_py()), date, type_, out.at, files.title, checksum, len(head) + len(body)), head, body, b"\n")
         files.close()
         yield from _listed(files.rows)
 
     return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(write, FILES)
 
 
+_SCAN = "path string, offset long, page_id long, payload_bytes long, payload_digest string, url string, date string"
+
+
+def _typed(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    columns = [x.strip().split(" ") for x in schema.split(",")]
+    return [c for c, _ in columns], [{"long": pa.int64(), "string": pa.string()}[t] for _, t in columns]
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    names, types = _typed(schema)
+    while held := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
 def scan_arc(files: DataFrame) -> DataFrame:
-    """path, offset, page_id, payload_bytes, payload_digest of every record of the listed ARC files."""
+    """path, offset, page_id, payload_bytes, payload_digest, url and date of every HTTP response in the listed ARC files."""
+
+    def rows(path):
+        system, place = filesystem(path)
+        with system.open_input_stream(place, compression=None) as f:
+            for r in arc_records(Stream(f)):
+                if r["kind"] == "response":
+                    _, fields, body = http_parts(r["content"])
+                    page = fields.get("x-page-id")
+                    yield path, r["offset"], None if page is None else int(page), len(body), digest(body), r["URL"], r["Archive-date"]
 
     def scan(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, place = filesystem(path)
-                rows = []
-                with system.open_input_stream(place, compression=None) as f:
-                    for r in arc_records(Stream(f)):
-                        _, fields, body = http_parts(r["content"])
-                        page = fields.get("x-page-id")
-                        rows.append((path, r["offset"], None if page is None else int(page), len(body), digest(body)))
-                        if len(rows) == ROWS:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
+                yield from _batches(rows(path), _SCAN)
 
-    return _each(files.select("path")).mapInArrow(scan, "path string, offset long, page_id long, payload_bytes long, payload_digest string")
-
-
-_SCAN_NAMES = ["path", "offset", "page_id", "payload_bytes", "payload_digest"]
-_SCAN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return _each(files.select("path"), files).mapInArrow(scan, _SCAN)
 
 
 def revisits(records: DataFrame, least: int = 0) -> DataFrame:
-    """One row for each file that has revisits: path, and an array of (offset, path, offset, page_id of what it revisits)."""
-    place = F.struct("page_id", "path", "offset")  # a null id is the least
+    """One row for each file that has revisits: path, and an array of the offset of each and of the path, offset, URL and date of its response."""
+    place = F.struct("page_id", "path", "offset", "url", "date")  # a null id is the least
     enough = records.filter(F.col("payload_bytes") >= least)
-    of = enough.groupBy("payload_digest").agg(F.max(place).alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    hits = enough.join(of, "payload_digest").filter(~((F.col("path") == F.col("response.path")) & (F.col("offset") == F.col("response.offset"))))
-    return hits.groupBy("path").agg(F.collect_list(F.struct("offset", F.col("response.path").alias("of_path"), F.col("response.offset").alias("of_offset"), F.col("response.page_id").alias("of_page"))).alias("revisits"))
+    of = enough.groupBy("payload_digest").agg(F.max(place).alias("response"), F.count("*").alias("rows")).filter("rows > 1")
+    hits = met(enough, of, "payload_digest", enough.count()).filter(~((F.col("path") == F.col("response.path")) & (F.col("offset") == F.col("response.offset"))))
+    one = F.struct("offset", *(F.col(f"response.{c}").alias(f"of_{c}") for c in ("path", "offset", "url", "date")))
+    return hits.groupBy("path").agg(F.collect_list(one).alias("revisits"))
 
 
-def record_id(name: str, offset: int, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{offset}#{url}')}>"
+def record_id(title: str, offset: int, url: str, date: str, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{title}#{offset}#{url}#{date}#{payload_digest}')}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -283,39 +313,54 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def warc_record(r: dict, title: str, of: dict | None) -> tuple[bytes, ...]:
+    """A record of the ARC file of this title as parts of a WARC record; of: the response that it revisits."""
+    content, url, date = r["content"], r["URL"], r["Archive-date"]
+    head, fields, body = http_parts(content) if r["kind"] == "response" else (b"", {}, content)
+    kind = "revisit" if of else r["kind"]
+    block = (head,) if of else (head, body)
+    payload = digest(body)
+    lines = [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", record_id(title, r["offset"], url, date, payload)),
+        ("WARC-Date", warc_date(date)),
+        ("WARC-Block-Digest", f"sha1:{digest(b''.join(block))}"),
+        ("Content-Type", "application/http; msgtype=response" if r["kind"] == "response" else r["Content-type"]),
+        ("X-Arc-Version", str(r["version"])),
+    ]
+    if kind == "warcinfo":
+        lines.append(("WARC-Filename", url.removeprefix("filedesc://")))
+    else:
+        lines += [("WARC-Target-URI", url), ("WARC-IP-Address", r["IP-address"]), ("WARC-Payload-Digest", f"sha1:{payload}"), ("X-Payload-Length", str(len(body)))]
+    if "x-page-id" in fields:
+        lines.append(("X-Page-Id", fields["x-page-id"]))
+    if of:
+        lines += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", record_id(title_of(of["of_path"]), of["of_offset"], of["of_url"], of["of_date"], payload)),
+            ("WARC-Refers-To-Target-URI", of["of_url"]),
+            ("WARC-Refers-To-Date", warc_date(of["of_date"])),
+        ]
+    lines.append(("Content-Length", str(sum(map(len, block)))))
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + CRLF, *block, CRLF + CRLF
+
+
 def convert(files: DataFrame, decisions: DataFrame, folder: str) -> DataFrame:
     """Write the records of the listed ARC files as WARC; decisions as revisits() gives them. Returns the list of files."""
 
     def write(batches):
         out = Rolling(folder, ".warc.gz")
-        out.open_with = lambda r: b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: " + f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r.name)}>".encode() + b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
         for batch in batches:
             for path, found in zip(batch.column("path").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
                 of = {x["offset"]: x for x in found or ()}
                 system, place = filesystem(path)
                 with system.open_input_stream(place, compression=None) as f:
-                    for r in arc_records(Stream(f)):
-                        url, name = r["URL"], path.rsplit("/", 1)[1]
-                        head, fields, body = http_parts(r["content"])
-                        x = of.get(r["offset"])
-                        block = (head,) if x else (head, body)
-                        lines = [
-                            ("WARC-Type", "revisit" if x else "response"), ("WARC-Record-ID", record_id(name, r["offset"], url)), ("WARC-Date", warc_date(r["Archive-date"])),
-                            ("WARC-Target-URI", url), ("WARC-IP-Address", r["IP-address"]), ("WARC-Payload-Digest", f"sha1:{digest(body)}"), ("WARC-Block-Digest", f"sha1:{digest(b''.join(block))}"),
-                            ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(body))), ("X-Arc-Version", str(r["version"])),
-                        ]
-                        if "x-page-id" in fields:
-                            lines.append(("X-Page-Id", fields["x-page-id"]))
-                        if x:
-                            lines += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Place", f"{x['of_path'].rsplit('/', 1)[1]}#{x['of_offset']}")]
-                            if x["of_page"] is not None:
-                                lines.append(("X-Refers-To-Page-Id", str(x["of_page"])))
-                        lines.append(("Content-Length", str(sum(map(len, block)))))
-                        out.file().add(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + CRLF, *block, CRLF + CRLF)
+                    for r in arc_records(Stream(f), info=True):
+                        out.file().add(*warc_record(r, title_of(path), of.get(r["offset"]) if r["kind"] == "response" else None))
         out.close()
         yield from _listed(out.rows)
 
-    return _each(files.select("path").join(decisions, "path", "left")).mapInArrow(write, FILES)
+    return _each(files.select("path").join(decisions, "path", "left"), files).mapInArrow(write, FILES)
 
 
 def warc_records(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -335,47 +380,53 @@ def warc_records(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, stream.take(int(fields["content-length"]))
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string"
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, of_record string, url string, warc_date string"
 
 
-def read_warc(files: DataFrame) -> DataFrame:
-    """What the listed WARC files hold, a row per response or revisit. A response's digest and length are computed from its
-    payload and must be those that its header declares."""
-    names = [x.strip().split(" ")[0] for x in READ.split(",")]
-    types = [pa.int64() if x.strip().endswith("long") else pa.string() for x in READ.split(",")]
+def read_records(files: DataFrame) -> DataFrame:
+    """_READ of the responses, revisits and resources in the listed WARC files; of_record: the id of what is revisited. The digest and length
+    of a payload are computed from it and must be those that its header declares."""
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    def rows(path):
+        system, place = filesystem(path)
+        with system.open_input_stream(place, compression=None) as f:
+            for h, block in warc_records(Stream(f)):
+                kind = h["warc-type"]
+                if kind not in ("response", "revisit", "resource"):
+                    continue
+                length, named = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")
+                if kind != "revisit":
+                    body = http_parts(block)[2] if kind == "response" else block
+                    if (len(body), digest(body)) != (length, named):
+                        raise ValueError(f"{path}: {h['warc-record-id']} doesn't hold what it declares")
+                page = h.get("x-page-id")
+                yield None if page is None else int(page), length, named, kind, h["warc-record-id"], h.get("warc-refers-to"), h["warc-target-uri"], h["warc-date"]
 
     def read(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, place = filesystem(path)
-                rows = []
-                with system.open_input_stream(place, compression=None) as f:
-                    for h, block in warc_records(Stream(f)):
-                        if h["warc-type"] not in ("response", "revisit"):
-                            continue
-                        length, named = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")
-                        if h["warc-type"] == "response":
-                            _, _, body = http_parts(block)
-                            if (len(body), digest(body)) != (length, named):
-                                raise ValueError(f"{path}: {h['warc-record-id']} doesn't hold what it declares")
-                        page, of = h.get("x-page-id"), h.get("x-refers-to-page-id")
-                        rows.append((None if page is None else int(page), length, named, h["warc-type"], None if of is None else int(of), h["warc-record-id"], h["warc-target-uri"], h["warc-date"]))
-                        if len(rows) == ROWS:
-                            yield batch_of(rows)
-                            rows = []
-                if rows:
-                    yield batch_of(rows)
-
-    return _each(files.select("path")).mapInArrow(read, READ)
+                yield from _batches(rows(path), _READ)
+
+    return _each(files.select("path"), files).mapInArrow(read, _READ)
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """read_records() with refers_to: the page id of the record that a revisit names."""
+    records = staged(read_records(files), "warc-records")
+    wanted = records.filter("of_record is not null").groupBy("of_record").agg(F.count("*").alias("rows"))
+    of = wanted.join(records.select(F.col("record_id").alias("of_record"), F.col("page_id").alias("refers_to")), "of_record")
+    revisit = records.filter("of_record is not null")
+    found = met(revisit, of, "of_record", records.count())
+    columns = [F.col(c) for c in records.columns]
+    return found.select(*columns, "refers_to").unionByName(records.filter("of_record is null").select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages to a legacy ARC archive, that to WARC, and what is read from the WARC files."""
+    """Pages to a legacy ARC archive, that to WARC, and what is read from the WARC files. The archives stay; the tables of the steps between go."""
     spark = pages.sparkSession
     arcs = staged(write_arc(pages, new_path(spark, "arc")), "arc-files")
     records = staged(scan_arc(arcs), "arc-records")
     decisions = staged(revisits(records, least), "arc-revisits")
-    return read_warc(staged(convert(arcs, decisions, new_path(spark, "warc")), "warc-files"))
+    warcs = staged(convert(arcs, decisions, new_path(spark, "warc")), "warc-files")
+    discard(records, decisions)
+    return read_warc(warcs)
