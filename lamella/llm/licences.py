@@ -86,15 +86,66 @@ RULES = (
     ("MPL-2.0", "mpl2-reference", ("mpl2-name",)),
 )
 ANCHORS = ("licen", "permi", "copyright", "redistribut", "warrant", "holders", "free software")
-#: Sentences and rules of standard texts that the SQL hasn't.
+#: Sentences and rules of standard texts that the SQL hasn't.
 STANDARD = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-redistribute-later",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-redistribute-later",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "this library is free software": "lgpl-free-licence",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-redistribute-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-redistribute-later",
+    "either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-redistribute-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-redistribute",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "apache license version 2 0 january 2004": "apache-title-2004",
+    "mozilla public license version 2 0": "mpl2-title",
+    "this source code form is subject to the terms of the mozilla public license version 2 0": "mpl2-name",
+    "eclipse public license v 2 0": "epl2-title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-name",
+    "boost software license version 1 0 august 17th 2003": "bsl-title",
+    "distributed under the boost software license version 1 0": "bsl-name",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "cc0 1 0 universal": "cc0-title",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-permission",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-name",
 }
 STANDARD_RULES = (
     ("GPL-3.0-or-later", "gpl3-header", ("gpl-free-licence", "gpl3-redistribute-later")),
     ("GPL-2.0-or-later", "gpl2-header", ("gpl-free-licence", "gpl2-redistribute-later")),
+    ("GPL-3.0", "gpl3-text", ("gpl3-title",)),
+    ("GPL-2.0", "gpl2-text", ("gpl2-title",)),
+    ("LGPL-2.1-or-later", "lgpl21-header", ("lgpl-free-licence", "lgpl-redistribute", "lgpl21-later")),
+    ("LGPL-2.1-or-later", "lgpl21-header", ("lgpl-free-licence", "lgpl21-redistribute-later")),
+    ("LGPL-3.0-or-later", "lgpl3-header", ("lgpl-free-licence", "lgpl-redistribute", "gpl3-later")),
+    ("LGPL-3.0-or-later", "lgpl3-header", ("lgpl-free-licence", "lgpl3-redistribute-later")),
+    ("LGPL-3.0-or-later", "lgpl3-header", ("gpl-free-licence", "lgpl3-redistribute-later")),
+    ("LGPL-3.0", "lgpl3-text", ("lgpl3-title",)),
+    ("LGPL-2.1", "lgpl21-text", ("lgpl21-title",)),
+    ("AGPL-3.0-or-later", "agpl3-header", ("gpl-free-licence", "agpl3-redistribute-later")),
+    ("AGPL-3.0-or-later", "agpl3-header", ("gpl-free-licence", "agpl-redistribute", "gpl3-later")),
+    ("AGPL-3.0", "agpl3-text", ("agpl3-title",)),
+    ("Apache-2.0", "apache-text", ("apache-title-2004",)),
+    ("Apache-2.0", "apache-warranty", ("apache-basis", "apache-language")),
+    ("MPL-2.0", "mpl2-text", ("mpl2-title",)),
+    ("EPL-2.0", "epl2-text", ("epl2-title",)),
+    ("EPL-2.0", "epl2-reference", ("epl2-name",)),
+    ("BSL-1.0", "bsl-full", ("bsl-title", "bsl-grant")),
+    ("BSL-1.0", "bsl-grant-only", ("bsl-grant",)),
+    ("BSL-1.0", "bsl-reference", ("bsl-name",)),
+    ("CC0-1.0", "cc0-text", ("cc0-title",)),
+    ("CC0-1.0", "cc0-waiver-only", ("cc0-waiver",)),
+    ("0BSD", "0bsd", ("0bsd-permission",)),
+    ("Zlib", "zlib-full", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("Zlib", "zlib-grant-only", ("zlib-grant",)),
     ("Unlicense", "unlicense-reference", ("unlicense-name",)),
 )
 #: White space and sentence ends, as both Java's and RE2's expressions read them.
@@ -131,6 +182,10 @@ def scan(docs: DataFrame) -> DataFrame:
         d = d.withColumn(f"s{k + 1}", F.replace(F.col(f"s{k}"), F.lit(mark), F.lit("#")))
         n = (F.length(f"s{k}") - F.length(f"s{k + 1}")) / F.lit(len(mark) - 1)
         found.append(F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), n.cast("long").alias("n_found")))
+    # a rule with several sequences is one: the first of them has the sum
+    names = [r[:2] for r in (*RULES, *STANDARD_RULES)]
+    total = lambda k: sum((found[j].getField("n_found") for j in range(k + 1, len(names)) if names[j] == names[k]), found[k].getField("n_found"))
+    found = [F.struct(F.lit(names[k][0]).alias("licence"), F.lit(names[k][1]).alias("rule"), total(k).alias("n_found")) for k in range(len(names)) if names[k] not in names[:k]]
     d = d.select("doc_id", "n_known", F.explode(F.filter(F.array(*found), lambda x: x.getField("n_found") > 0)).alias("x"))
     return d.select("doc_id", "x.licence", "x.rule", "x.n_found", "n_known")
 
