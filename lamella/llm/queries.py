@@ -44,7 +44,7 @@ def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("offending")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

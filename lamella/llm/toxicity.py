@@ -12,7 +12,8 @@ whose surplus is Z standard errors at least; the VOCABULARY of largest surplus.
 
 Sentences end at words that end in . ! or ? (quotes and brackets may follow) and at line feeds. Words are ASCII
 lower-cased, without marks around them. Null and empty texts score the leak and have no offending sentence. Repeated rows
-and equal texts score alike. Labels with a null are left out; of several labels for an id the largest counts. Without any label of
+and equal texts score alike. Labels with a null are left out, above 0 they say toxic; of several labels for an id the largest counts. Of
+several rows of a sampled id one is learned from, that whose text has the smallest hash. Without any label of
 both kinds every score is the share of toxic labels (0 without labels), below 0.5 unless most labels are toxic. An empty
 table gives an empty result. Only doc_id and text of documents, doc_id and toxic of labels are read.
 """
@@ -125,10 +126,14 @@ def held_out_rows(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labels of rows whose crc32(doc_id) mod 5 is not 0."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropna()
     lab = lab.filter(~held_out_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows of two numbers: broadcast below
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab), "doc_id")
+    # repeated ids: which row of each is learned from (a row of two numbers for each sampled id, at most `sample`, broadcast)
+    one = rows.select("doc_id", F.xxhash64("text").alias("least")).groupBy("doc_id").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    several = one.filter("n > 1").select(F.col("doc_id").alias("several"), "least")
+    rows = rows.join(F.broadcast(several), F.col("doc_id") == F.col("several"), "left").filter(F.col("several").isNull() | (F.xxhash64("text") == F.col("least")))
 
     def count(batches):
         for batch in batches:
@@ -166,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 names=["doc_id", "toxic", "sentence", "word"],
             )
 
-    got = sorted(rows.mapInArrow(bags, "doc_id long, toxic int, sentence array<long>, word array<long>").collect(), key=lambda r: r.doc_id)
+    found = rows.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id long, toxic int, sentence array<long>, word array<long>")
+    # equal rows of an id are one
+    got = sorted(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("sentence").alias("sentence"), F.first("word").alias("word")).collect(), key=lambda r: r.doc_id)
     sizes = [len(r.word) for r in got]
     flat = lambda name: np.array([x for r in got for x in r[name]], np.int64)
     return train(words, np.array([min(1, r.toxic) for r in got]), np.repeat(np.arange(len(got)), sizes), flat("sentence"), flat("word"))
