@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates: passages of benchmark items in documents, also with other numbers or names.
 
 Words are cut at ASCII white space and freed of the marks around them. A number (with its separators, sign, %) becomes the
-placeholder <num>, a unit after it or on its own <unit>, a word with a capital that doesn't begin a sentence and isn't all in
+placeholder <num>, a unit after a number <unit>, a word with a capital that doesn't begin a sentence and isn't all in
 capitals <name>; other words are lower-cased. Windows of WINDOW such tokens with at least LITERALS that are no placeholders are
 joined by hash, and all windows also by their lower-cased words as they are, so that a verbatim copy goes on through numbers and names; the join's pairs are aligned by document, item and distance of the positions. In an aligned run
 the slots are compared: a value of the item must always stand for one value of the document and the other way round, in each type; then
@@ -12,8 +12,9 @@ fewer than WINDOW words is one sequence, found where its words stand as they are
 
 What is sent: the windows of documents that may be in the benchmark. A bitmap of fixed size (BITS) of the benchmark's window
 hashes goes to the tasks; windows that fall on a set bit are the candidates of an exact hash join, which Spark
-plans by size. A benchmark that outgrows the bitmap makes more candidates, never other results. Items that are equal word for
-word are one, of the smallest id, so that a text that many items share isn't joined with each of them.
+plans by size. A benchmark that outgrows the bitmap makes more candidates, never other results. Items of equal text are one, of the
+smallest id, so that a text that many items share isn't joined with each of them: membership() has which item stands for which,
+and n_items in the result how many it stands for.
 
 Null and empty texts match nothing. Rows of the same doc_id are one document in
 the result; a null id is kept as null. An empty table gives an empty result. Very long texts are read whole. Only doc_id, item_id and text are
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import small_batches, staged, texts
+from lamella.llm.common import fresh, small_batches, staged, texts, without
 
 WINDOW, LITERALS, RUN = 8, 3, 6
 #: Bits of the bitmap (4 MB) and of one of Spark's bitmaps.
@@ -100,9 +101,13 @@ class Templates:
         begins[1:] |= kinds[:-1] >= 4
         kind = kinds & 3
         kind[(kind == NAME) & begins] = 0
+        # "in" and "second" are units after a number only
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        alone = np.ones(n, bool)
+        alone[1:] = (kind[:-1] != NUM) | (owner[1:] != owner[:-1])
+        kind[(kind == UNIT) & alone] = 0
         raw = np.array(self.hashes, np.uint64)[k] if n else np.zeros(0, np.uint64)
         h = np.where(kind > 0, _PLACES[kind], raw)
-        owner = np.repeat(np.arange(len(docs)), sizes)
         literal = np.concatenate(([0], np.cumsum(kind == 0)))
         found = []
         for size in sorted({WINDOW, *(range(1, WINDOW) if short is None else short)}):
@@ -214,10 +219,31 @@ def _chunks(each):
         yield held
 
 
+def classes(items: DataFrame) -> DataFrame:
+    """text, item_id, n_items: each text once, the smallest id of its items and their number."""
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+
+
+def membership(items: DataFrame) -> DataFrame:
+    """item_id, of: for each item the one of equal text that stands for it in contamination()."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return own.join(classes(items).select(F.col("text").alias("_t"), F.col("item_id").alias("of")), F.col("text").eqNullSafe(F.col("_t"))).select("item_id", "of")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that no item contaminates. Rows are told apart by id and text, so a clean text stays though another text of its
+    id, or of no id, goes."""
+    place = fresh(docs, "place")[0]
+    placed = docs.withColumn(place, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    found = staged(contamination(placed.select(F.col(place).alias("doc_id"), "text"), items).select("doc_id"), "contaminated")
+    return without(placed, found, place).select(*docs.columns)
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, and of the longest consistent run: run (windows), item_windows, begin (word of the document), slots, changed
-    (slots with another value than the item's). A row for each contaminated document and item."""
-    bench = items.select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    """doc_id, item_id, n_items (equal ones), and of the longest consistent run: run (windows), item_windows, begin (word of the document),
+    slots, changed (slots with another value than the item's). A row for each contaminated document and item."""
+    known = classes(items)
+    bench = known.select("item_id", "text")
     bench = staged(small_batches(bench).mapInArrow(lambda b: _emit("item_id", b), _COLUMNS.format("item_id")), "benchmark-windows")
     sizes = bench.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(F.col("good"), F.col("pos"))).alias("good_windows"))
     short = tuple(r.length for r in bench.filter(F.col("length") < WINDOW).select("length").distinct().collect())
@@ -252,4 +278,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     enough = lambda n, of: F.col(n) >= F.greatest(F.lit(1), F.least(F.lit(RUN), F.col(of) - 1))
     runs = runs.join(sizes, "item_id").filter(enough("run", "item_windows") | enough("good", "good_windows"))
     best = runs.groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("run", -F.col("begin"), F.col("slots").cast("int").alias("slots"), F.col("changed").cast("int").alias("changed"))).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.run").alias("run"), "item_windows", (-F.col("m.col2")).alias("begin"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed"))
+    best = best.join(known.groupBy("item_id").agg(F.max("n_items").alias("n_items")), "item_id", "left")
+    return best.select("doc_id", "item_id", "n_items", F.col("m.run").alias("run"), "item_windows", (-F.col("m.col2")).alias("begin"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed"))
