@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from lamella.llm.common import discard, small_batches, staged, texts
 
 STATES, ROUNDS, TOP, BUCKETS, SMOOTH, SEED = 6, 4, 2048, 256, 20.0, 11
+#: What a round must add to the log likelihood of a token, for another to follow.
+GAIN = 1e-5
 #: Classes: the words of their own, buckets, the end, unknown words.
 END, UNKNOWN = TOP + BUCKETS, TOP + BUCKETS + 1
 CLASSES = UNKNOWN + 1
@@ -44,6 +46,8 @@ BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>,
 
 def _planes(ids: np.ndarray) -> bytes:
     """Numbers below 2 ** 24 byte by byte: the upper bytes, mostly 0, compress to little."""
+    if len(ids) and int(ids.max()) >> 24:
+        raise ValueError("a block has 2 ** 24 distinct words or more: set BLOCK lower")
     b = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     return np.ascontiguousarray(b[:, :3].T).tobytes()
 
@@ -143,6 +147,7 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
+        self.likes: list[float] = []
 
     def groups(self, n: np.ndarray):
         """Texts by falling length, in groups of about TOGETHER tokens."""
@@ -168,7 +173,7 @@ class Model:
                 a = a / s[:, None]
                 total[:m] += np.log(s)
                 if keep:
-                    alphas.append(a)
+                    alphas.append(a.astype(np.float32))  # only for expected counts
                     scales.append(s)
             out[g] = total
             if keep:
@@ -211,7 +216,7 @@ class Model:
 
 def _observations(batch, k: int, train: bool) -> tuple[np.ndarray, np.ndarray]:
     n = batch.column("n")[k].values.to_numpy().astype(np.int64)
-    obs = np.frombuffer(batch.column("classes")[k].as_py(), "<u2").astype(np.int64)
+    obs = np.frombuffer(batch.column("classes")[k].as_py(), "<u2")
     if train:
         held = batch.column("held_out")[k].values.to_numpy(zero_copy_only=False)
         obs, n = obs[np.repeat(~held, n)], n[~held]
@@ -237,9 +242,11 @@ def first_model(share: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit)
 
 
-def trained(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts of coded()."""
+def trained(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over all training texts of coded(): `rounds` at most, fewer where the log likelihood of a token rises by less than
+    `gain`. The model has in `likes` that of each round's texts, before the round."""
     model = first_model(share)
+    likes: list[float] = []
     for _ in range(rounds):
         now = model
 
@@ -249,7 +256,8 @@ def trained(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Model:
                 for k in range(batch.num_rows):
                     obs, n = _observations(batch, k, True)
                     if len(n):
-                        found = now.expected(obs, n)[:3]
+                        starts, moves, emits, like = now.expected(obs, n)
+                        found = starts, moves, emits, np.array([like, n.sum()], float)
                         total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
             if total is None:
                 return
@@ -257,16 +265,21 @@ def trained(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Model:
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], names=["at", "x"])
 
-        sums = rows.select("held_out", "n", "classes").mapInArrow(expect, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()  # at most K + K * K + classes * K rows
-        flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
+        sums = rows.select("held_out", "n", "classes").mapInArrow(expect, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()  # at most K + K * K + classes * K + 2 rows
+        flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES + 2)
         for r in sums:
             flat[r.at] = r.x
         if not flat.any():
-            return model
+            break
+        flat, (like, tokens) = flat[:-2], flat[-2:]
+        likes.append(float(like / tokens))
+        if len(likes) > 1 and likes[-1] - likes[-2] < gain:
+            break
         starts, moves, emits = np.split(flat, [STATES, STATES + STATES * STATES])
         emits = emits.reshape(CLASSES, STATES) + SMOOTH * share[:, None]
         moves = moves.reshape(STATES, STATES) + 1.0 / STATES
         model = Model((starts + 1) / (starts + 1).sum(), moves / moves.sum(1, keepdims=True), _with_unknown(emits, share))
+    model.likes = likes
     return model
 
 
