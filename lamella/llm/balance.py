@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import SPACES, fresh, staged
+from lamella.llm.common import SPACES, discard, fresh, staged
 
 #: Units of a block.
 BLOCK = 4096
@@ -156,6 +156,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     )
     names = [x.strip().split(" ")[0] for x in _UNITS.split(",")]
     level, done, state, fractional = 0, [], staged(start.select(*names), "mix-0"), (F.col("p") > 0) & (F.col("p") < 1)
+    held = [units, state]
     while True:
         done.append(state.filter(~fractional))
         rest = state.filter(fractional)
@@ -163,9 +164,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
             break
         level += 1
         state = staged(rest.groupBy("source", "block").applyInArrow(_fly(level, seed), _UNITS), f"mix-{level}")
+        held.append(state)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
+    out = staged(out, "mix")
+    discard(*held)
     extra = F.col("taken_n") + F.col("p").cast("long")
     copies = F.col("base") + (F.col("i") <= extra).cast("int")
     return out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -151,6 +151,20 @@ class Reader:
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+")
 
 
+#: How a tokenizer whose words can be encoded one by one normalises and cuts texts.
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def by_word(settings: dict) -> bool:
+    """Whether a tokenizer of these settings gives a text the ids of its words, as WordEncoder takes them."""
+    normal, cut = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    parts = cut.get("pretokenizers") or [{}]
+    split = parts[0].get("type") == "Split" and parts[0].get("pattern") == CUT and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    level = len(parts) == 2 and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and parts[1].get("use_regex") is False
+    return normal.get("normalizers") == NORMALISED and split and level and settings.get("model", {}).get("type") == "BPE"
+
+
 def _byte_characters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if it can be seen, else one of those from 256 on."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -161,8 +175,8 @@ def _byte_characters() -> list[str]:
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases, and whose pre-tokenizer neither joins what ASCII white space separates
     nor letters with the marks after them: each distinct word goes through the library once, a text's ids are those of
-    its words. Words of Latin letters go to the library's model directly, words with one mark after a letter in two; texts that may name a special token go
-    through the library whole."""
+    its words. Words of Latin letters go to the library's model directly, words with one mark after a letter in two; texts that may name a special token, and all texts
+    of a tokenizer that isn't so (by_word), go through the library whole."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # else its threads each hold memory
@@ -170,6 +184,7 @@ class WordEncoder:
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.model = self.tokenizer.model
+        self.by_word = by_word(json.loads(self.tokenizer.to_str()))
         self.special = sorted({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.as_characters = dict(enumerate(_byte_characters()))
         self.known: dict[bytes, int] = {}
@@ -222,7 +237,7 @@ class WordEncoder:
             self.forget()
         known, numbers, whole = self.known, [], {}
         for n, d in enumerate(docs):
-            if any(s in d for s in self.special):
+            if not self.by_word or any(s in d for s in self.special):
                 whole[n] = self.whole(d)
                 numbers.append(np.zeros(0, np.int64))
                 continue

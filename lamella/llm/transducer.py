@@ -151,6 +151,8 @@ class Transducer:
                 after.append(share(x, x))
         x = ("", token if char in p.chars else None, 0)  # nothing joins a character that no piece has
         after.append(share(x, x))
+        if not 0 <= output + _BIAS < 1 << _SHIFT:
+            raise OverflowError(f"a transition that emits {output} tokens doesn't fit in {_SHIFT} bits")
         return (self.number_of(tuple(after)) << _SHIFT) + output + _BIAS
 
     def entries(self, at: np.ndarray, codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
