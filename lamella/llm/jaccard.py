@@ -15,10 +15,10 @@ whole sets cut into PARTS ranges, overlaps counted in each and summed.
 
 Not all pairs are counted. First, within each list (the sets that have a shingle, by bands of size) only pairs with the list's
 centre: the set in which the shingle comes earliest, so the one with the least that is rare, to which the others of a group
-of near copies are closest. Each set is verified with the centre that it shares most with. Then, exactly: in lists that still
-have sets of several components, all pairs of different components that pass the test. A pair of the same component needs
-no count, as a link couldn't change the result; so groups of thousands of near copies cost no pairs, and no link between
-components is missed. Where slots come more than SPLIT times above the mean, lists are dealt to several tasks: each has a
+of near copies are closest. All these pairs are verified. Then, exactly: of lists with further pairs that pass the test (those of two
+sets have none), where they still have sets of several components, all such pairs of different components. A pair of the same
+component needs no count, as a link couldn't change the result; so groups of thousands of near copies cost no pairs, and no link
+between components is missed. Where slots come more than SPLIT times above the mean, lists are dealt to several tasks: each has a
 centre, and the centres meet the least of them; in the second pass the component with most sets is cut into blocks that only
 meet the blocks of others.
 
@@ -272,9 +272,9 @@ FOUND = "kind int, a long, b long, na long, nb long, n long"
 
 
 def _centres(key, table):
-    """Of a fragment: kind 0, pairs of lists' centres and members that pass the test, with how many lists they share so; kind 1, lists of
-    two sets or more (a: shingle, b: class, na: place in the set, nb: size); kind 2, of lists that are dealt to several tasks the centre (as in
-    kind 1, n: band)."""
+    """Of a fragment: kind 0, pairs of lists' centres and members that pass the test, with how many lists they share so; kind 1, sets that
+    may be in further pairs (a: shingle, b: class, na: place in the set, nb: size), all of a list that is dealt to several tasks;
+    kind 2, of such lists the centre (as in kind 1, n: band)."""
     _free()
     dealt = key[1].as_py() > 1
     p = np.concatenate([np.frombuffer(b.as_py(), POSTING) for b in table["blob"]])
@@ -295,11 +295,16 @@ def _centres(key, table):
     pairs["a"], pairs["na"], pairs["b"], pairs["nb"] = u[c], n[c], u[m], n[m]
     pairs, often = _counted(pairs)
     heads = by[first] if dealt else by[:0]
+    if not dealt:
+        star = np.zeros(len(p), bool)
+        star[by[first]] = True
+        more = _further(k, n, n - pos, band, star)
+        k, u, n, pos = k[more], u[more], n[more], pos[more]
     column = lambda x, y, z: pa.array(np.concatenate((x, y, z)), pa.int64())
-    zero = np.zeros(len(p), np.int64)
+    zero = np.zeros(len(k), np.int64)
     return pa.table(
         [
-            pa.array(np.repeat([0, 1, 2], [len(pairs), len(p), len(heads)]), pa.int32()),
+            pa.array(np.repeat([0, 1, 2], [len(pairs), len(k), len(heads)]), pa.int32()),
             column(pairs["a"], k, k[heads]),
             column(pairs["b"], u, u[heads]),
             column(pairs["na"], pos, pos[heads]),
@@ -310,6 +315,27 @@ def _centres(key, table):
     )
 
 
+def _further(k, n, left, band, star) -> np.ndarray:
+    """Which sets of lists (ordered by key) may pass the test with another that isn't their centre, nor they its."""
+    out = np.zeros(len(k), bool)
+    first, end = _groups(k)
+    short = end - first <= SHORT
+    stop = np.repeat(np.where(short, end, 0), end - first)
+    for d in range(1, SHORT):
+        i = np.flatnonzero(np.arange(len(k)) + d < stop)
+        if not len(i):
+            break
+        j = i + d
+        passes = (np.minimum(left[i], left[j]) >= needed(n[i], n[j])) & (np.minimum(n[i], n[j]) * T[1] >= np.maximum(n[i], n[j]) * T[0])
+        passes &= (band[i] != band[j]) | ~(star[i] | star[j])
+        out[i[passes]] = True
+        out[j[passes]] = True
+    for a, b in zip(first[~short].tolist(), end[~short].tolist(), strict=True):  # whether it may with one of the least size there
+        least = np.maximum(int(n[a:b].min()), -(-n[a:b] * T[0] // T[1]))
+        out[a:b] = left[a:b] >= needed(least, n[a:b])
+    return out
+
+
 def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(pairs):
         return pairs, np.zeros(0, np.int64)
@@ -438,16 +464,16 @@ def _segments_batch(rows) -> pa.RecordBatch:
 
 
 def _first_pairs(found: DataFrame) -> DataFrame:
-    """Each class with the centre that it shares most lists with."""
+    """Centres and members, with how many lists they share."""
     pairs = found.filter("kind = 0").select("a", "b", "na", "nb", "n")
     # lists dealt to several tasks: their centres with the least of them
     heads = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("n").alias("band"), F.col("b").alias("u"), F.col("nb").alias("size"), (F.col("nb") - F.col("na")).alias("rest"))
     least = heads.groupBy("key", "band").agg(F.min(F.struct((-F.col("rest") / F.col("size")).alias("at"), "u", "size", "rest")).alias("c"))
     met = heads.join(least, ["key", "band"]).filter((F.col("u") != F.col("c.u")) & (F.least("rest", "c.rest") >= needed_column(F.col("size"), F.col("c.size"))))
     pairs = pairs.unionByName(met.select(F.col("c.u").alias("a"), F.col("u").alias("b"), F.col("c.size").alias("na"), F.col("size").alias("nb"), F.lit(1).cast("long").alias("n")))
-    shared = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    best = shared.groupBy("b", "nb").agg(F.max(F.struct("n", "a", "na")).alias("m"))
-    return best.select(F.col("m.a").alias("a"), "b", F.col("m.na").alias("na"), "nb")
+    # two centres of different lists can be each other's member
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "n")
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
 
 
 def _second_pairs(lists: DataFrame) -> DataFrame:
@@ -480,7 +506,7 @@ def _matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = docs.sparkSession.sparkContext.broadcast(order_of(per_row).tobytes())
     found = staged(_postings(docs, shared).groupBy("fragment", "salts", "salt").applyInArrow(_centres, FOUND), "fragments")
     shared.unpersist()
-    one = verified(_first_pairs(found), classes, docs)
+    one = verified(_first_pairs(found).select("a", "b", "na", "nb"), classes, docs)
     label = components(one)
     # lists with several components: all pairs between these
     lists = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("u"), F.col("nb").alias("n"), F.col("na").alias("pos"))
