@@ -26,6 +26,21 @@ def half_even(x: Column) -> Column:
     return F.bround(x.cast("double"), 0).cast("long")
 
 
+def decimals(x: Column, n: int) -> Column:
+    """x rounded to n decimals as text: by its exact binary value, halves to the even digit, as Python's round() does."""
+    return F.replace(F.format_number(x.cast("double"), n), F.lit(","), F.lit(""))
+
+
+def round_n(x: Column, n: int) -> Column:
+    """Python's round(x, n); F.round and F.bround round what the double is written as, not what it is."""
+    return decimals(x, n).cast("double")
+
+
+def shortest(x: Column, n: int) -> Column:
+    """round_n as Python writes it: no zeros at the end but one after the point."""
+    return F.regexp_replace(decimals(x, n), r"(\.\d+?)0+$", "$1")
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return F.lit(0.2126) * r + F.lit(0.7152) * g + F.lit(0.0722) * b
 

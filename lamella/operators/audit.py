@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.geometry import half_even
+from lamella.functions.geometry import half_even, round_n, shortest
+from lamella.operators import masks, raster
 
 
 def sprite_groups(layers: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def family_consistency(layers: DataFrame) -> DataFrame:
 
 
 def version_gain(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Gain of area of layers in both versions, and a tenth of a percent of the old area, truncated."""
+    """Gain of area of layers in both versions, and percent of the old area to one decimal."""
     j = new.alias("n").join(old.alias("o"), "id")
     gain = F.col("n.area") - F.col("o.area")
-    return j.select("id", gain.alias("gain"), (F.lit(1000) * gain / F.greatest(F.lit(1), F.col("o.area"))).cast("long").alias("permille"))
+    return j.select("id", gain.alias("gain"), round_n(F.lit(100) * gain / F.greatest(F.lit(1), F.col("o.area")), 1).alias("pct"))
 
 
 def box_error(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,3 +54,70 @@ def lossless(differences: DataFrame, allowed: DataFrame) -> DataFrame:
     on = (F.col("a.image_id") == F.col("r.image_id")) & (F.col("a.y") == F.col("r.y")) & (F.col("a.x") >= F.col("r.x0")) & (F.col("a.x") < F.col("r.x1"))
     bad = a.join(r, on, "left_anti").groupBy("image_id").agg(F.count("*").alias("n_bad"))
     return differences.select("image_id").distinct().join(bad, "image_id", "left").select("image_id", F.coalesce("n_bad", F.lit(0).cast("long")).alias("n_bad"))
+
+
+def self_check(differences: DataFrame, holes: DataFrame, free: DataFrame, w: int, h: int, reach: int = 3) -> DataFrame:
+    """Pixels (image_id, y, x) that differ outside the holes (runs with layer_id) grown by reach and outside what is free to differ: the safe area and dropped
+    layers (runs image_id, y, x0, x1). A row for each image that has differences."""
+    grown = masks.grown(holes, reach, w, h).select("image_id", "y", "x0", "x1")
+    return lossless(differences, raster.coalesced(grown.unionByName(free.select("image_id", "y", "x0", "x1")), ("image_id", "y")))
+
+
+def review_text(manifest: DataFrame, mismatch: DataFrame) -> DataFrame:
+    """manifest with what a person should look at: sprites that don't match their template (image_id, id, score to 3 decimals)."""
+    text = mismatch.select("image_id", "id", F.concat(F.lit("sprite mismatch score="), shortest(F.col("score"), 3)).alias("review"))
+    return manifest.join(text, ["image_id", "id"], "left")
+
+
+def gain_ranking(gains: DataFrame, key: str = "image_id") -> DataFrame:
+    """Of rows (key, ord, id, gain, pct): how many grew, of how many, and the rows of the greatest and the least gain (the first, the last by order on ties)."""
+    up, down = F.struct("gain", -F.col("ord")), F.struct("gain", -F.col("ord"))
+    return gains.groupBy(key).agg(F.count_if(F.col("gain") > 0).alias("grew"), F.count("*").alias("n"), F.max_by("id", up).alias("most_id"), F.max_by("pct", up).alias("most_pct"), F.min_by("id", down).alias("least_id"), F.min_by("pct", down).alias("least_pct"))
+
+
+def repair_counters(log: DataFrame, key: str = "image_id") -> DataFrame:
+    """How layers were repaired: by surface, by an atlas, by the classical fill."""
+    atlas = F.coalesce(F.col("method").endswith("-atlas"), F.lit(False))
+    return log.groupBy(key).agg(F.count_if(F.col("mode") == "surface").alias("surface"), F.count_if(atlas).alias("gen"), F.count_if((F.col("mode") == "image") & ~atlas).alias("ns"))
+
+
+def paid_calls(calls: DataFrame, key: str = "image_id") -> DataFrame:
+    """Calls that weren't answered from a cache, and their kinds in order."""
+    paid = calls.filter(~F.col("kind").eqNullSafe(F.lit("cache")))
+    return paid.groupBy(key).agg(F.count("*").alias("calls"), F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("kinds"))
+
+
+def timings(steps: DataFrame, key: str = "image_id") -> DataFrame:
+    """Steps (key, name, seconds) with their time to hundredths, and a row of their total."""
+    each = steps.select(key, "name", round_n(F.col("seconds"), 2).alias("seconds"))
+    total = steps.groupBy(key).agg(round_n(F.sum("seconds"), 2).alias("seconds")).select(key, F.lit("total").alias("name"), "seconds")
+    return each.unionByName(total)
+
+
+def plate_statistics(pixels: DataFrame, key: str = "image_id", strong: int = 60) -> DataFrame:
+    """Of pixels (key, hole, value, edge, changed) inside and outside the hole: spread, mean edge, share of strong edges, share of black, and how many changed."""
+    return pixels.groupBy(key, "hole").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("std"), F.avg("edge").alias("edge"), F.avg((F.col("edge") > strong).cast("int")).alias("strong"), F.avg((F.col("value") == 0).cast("int")).alias("black"), F.count_if("changed").alias("changed"))
+
+
+def contact_rows(tiles: DataFrame, per: int = 8, gap: int = 6, key: str = "image_id") -> DataFrame:
+    """Tiles (key, ord, w, h) of a contact sheet: rows of `per` in their order, each with its number of tiles, width and height."""
+    row = F.floor((F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1) / per)
+    return tiles.withColumn("row", row).groupBy(key, "row").agg(F.count("*").alias("n"), (F.sum("w") + gap * (F.count("*") - 1)).alias("w"), F.max("h").alias("h"))
+
+
+def dropped(case: DataFrame, flags: DataFrame) -> DataFrame:
+    """Ids to leave out: those of the case and those of the call, once each."""
+    return case.unionByName(flags).distinct()
+
+
+def foreign_holes(masks_: DataFrame, holes: DataFrame) -> DataFrame:
+    """Pixels (image_id, layer_id, pixels) of a layer's box where the hole of another layer is and its own isn't: there its cut shows the original."""
+    box = raster.measures(masks_).select("image_id", "layer_id", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    every = raster.coalesced(holes.select("image_id", "y", "x0", "x1"), ("image_id", "y"))
+    inside = every.join(box, "image_id").filter("y >= by0 and y < by1").select("image_id", "layer_id", "y", F.greatest("x0", "bx0").alias("x0"), F.least("x1", "bx1").alias("x1")).filter("x1 > x0")
+    return masks.less(inside, raster.coalesced(holes)).groupBy("image_id", "layer_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+
+
+def newest(folders: DataFrame, key: str = "source") -> DataFrame:
+    """The folder (key, path, modified, complete) that was modified last among the complete ones; the later path on ties."""
+    return folders.filter("complete").groupBy(key).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))

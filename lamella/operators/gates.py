@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.geometry import half_even
+from lamella.functions.geometry import decimals, half_even, shortest
 from lamella.functions.text import is_single_latin
 from lamella.params import DEFAULT, Params
 
@@ -72,11 +72,20 @@ def first_log(manifest: DataFrame, log: DataFrame, key: str, order: list[str]) -
 
 
 def ask_size(w: Column, h: Column, p: Params = DEFAULT) -> Column:
-    """The size to ask a provider for: scaled up to its least number of pixels, even; null beyond its greatest side."""
-    f = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(p.min_request_pixels)) / (w * h)))
-    even = lambda x: F.ceil(x * f / 2) * 2
-    a, b = even(w), even(h)
-    return F.when((a <= p.max_request_side) & (b <= p.max_request_side), F.struct(a.cast("long").alias("w"), b.cast("long").alias("h")))
+    """The size to ask a provider for: as it is from its least number of pixels on, else scaled up, the height then raised until
+    there are enough; null beyond its greatest side."""
+    enough, scale = w * h >= p.min_request_pixels, F.sqrt(F.lit(float(p.min_request_pixels)) / (w * h))
+    wide = F.when(enough, w).otherwise(F.ceil(w * scale)).cast("long")
+    high = F.when(enough, h).otherwise(F.greatest(F.ceil(h * scale), F.ceil(F.lit(p.min_request_pixels) / wide))).cast("long")
+    return F.when(F.greatest(wide, high) <= p.max_request_side, F.struct(wide.alias("w"), high.alias("h")))
+
+
+def fit_size(w: Column, h: Column, low: int = 512, high: int = 4096) -> Column:
+    """Width and height scaled into [low, high]; where both can't be had, the longer side is `high`."""
+    up = F.when(F.least(w, h) < low, F.lit(float(low)) / F.least(w, h)).otherwise(F.lit(1.0))
+    s = F.when(F.greatest(w, h) * up > high, F.lit(float(high)) / F.greatest(w, h)).otherwise(up)
+    side = lambda x: F.greatest(F.lit(1).cast("long"), half_even(x * s))
+    return F.struct(side(w).alias("w"), side(h).alias("h"))
 
 
 def box_token(x: Column, n: Column) -> Column:
@@ -84,16 +93,34 @@ def box_token(x: Column, n: Column) -> Column:
     return F.least(F.lit(999), F.greatest(F.lit(0), half_even(x / n * 1000)))
 
 
+def box_tokens(x0: Column, y0: Column, x1: Column, y1: Column, w: int, h: int, pad: int = 0) -> Column:
+    """The four tokens of a box, grown by pad within the canvas; null for a null box."""
+    low = lambda v: F.greatest(F.lit(0), v - pad) if pad else v
+    top = lambda v, n: F.least(F.lit(n), v + pad) if pad else v
+    parts = [box_token(low(x0), F.lit(float(w))), box_token(low(y0), F.lit(float(h))), box_token(top(x1, w), F.lit(float(w))), box_token(top(y1, h), F.lit(float(h)))]
+    return F.when(x0.isNotNull(), F.concat_ws(" ", *[x.cast("string") for x in parts]))
+
+
+def region_prompt(regions: DataFrame, most: int = 12, key: str = "image_id") -> DataFrame:
+    """Of each image the tokens (ord, token) of its first regions, as a prompt has them; null tokens are left out, after the count."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("ord", "token"))), 1, most)
+    return regions.groupBy(key).agg(F.transform(F.filter(first, lambda r: r.getField("token").isNotNull()), lambda r: F.concat(F.lit("<bbox>"), r.getField("token"), F.lit("</bbox>"))).alias("r")).select(
+        key, F.when(F.size("r") > 0, F.array_join("r", " ")).alias("regions")
+    )
+
+
 def cache_key(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16)
 
 
 def prompt_block(entries: DataFrame, w: int, h: int, key: str = "image_id") -> DataFrame:
-    """The detections of an image as lines of a prompt, in order: id, box as parts of ten thousand of the canvas, text on one line."""
-    part = lambda c, n: F.floor(F.col(c) * 10000 / n).cast("string")
-    line = F.concat_ws(" ", "id", part("x0", w), part("y0", h), part("x1", w), part("y1", h), F.trim(F.regexp_replace("text", "[\r\n]+", " ")))
+    """The detections of an image as a prompt lists them, in order: id, text on one line, box as rounded parts of the canvas, confidence."""
+    box = F.concat(F.lit("["), F.concat_ws(", ", *[shortest(F.col(c) / F.lit(float(max(1, n))), 4) for c, n in (("x0", w), ("y0", h), ("x1", w), ("y1", h))]), F.lit("]"))
+    text = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    line = F.concat(F.lit("  "), F.concat_ws(" | ", "id", text, box, decimals(F.coalesce("score", F.lit(0.0)), 2)))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("ord"), line.alias("line"))))
-    return entries.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x.getField("line")), "\n").alias("block"))
+    head = F.concat(F.lit("\n\nOCR regions ("), F.count("*").cast("string"), F.lit("), format id | text | bbox_norm | conf:\n"))
+    return entries.groupBy(key).agg(F.concat(head, F.array_join(F.transform(ordered, lambda x: x.getField("line")), "\n")).alias("block"))
 
 
 def consensus(matches: DataFrame, p_good: float = 0.85, share: float = 0.6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import area, intersection
+from lamella.operators.raster import dilate
 from lamella.params import DEFAULT, Params
 
 #: Side of a tile in pixels. A busy image is dealt out by tiles, so one image is no one task.
@@ -28,10 +29,31 @@ def overlapping(a: DataFrame, b: DataFrame, condition: Column, key: str = "image
     return a.join(b, same & meet & corner & condition)
 
 
-def edges(layers: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Geometric occlusion: image_id, under_id, over_id, pixels of layers with a greater z that share more than so many pixels."""
+def edges(layers: DataFrame, p: Params = DEFAULT, touch: bool = False) -> DataFrame:
+    """Geometric occlusion: image_id, under_id, over_id, pixels of layers with a greater z that share more than so many pixels; with touch,
+    also of those whose box, grown by p.touch_reach, has more than p.touch_pixels of the lower one (the mask of a layer being its box: for
+    others see touching())."""
     over = F.col("b.z") > F.col("a.z")
-    return overlapping(layers, layers, over & (intersection("a.", "b.") > p.overlap_pixels)).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("under_id"), F.col("b.id").alias("over_id"), intersection("a.", "b.").alias("pixels"))
+    shared = lambda r: F.greatest(F.lit(0), F.least("a.x1", F.col("b.x1") - r) - F.greatest("a.x0", F.col("b.x0") + r)) * F.greatest(F.lit(0), F.least("a.y1", F.col("b.y1") - r) - F.greatest("a.y0", F.col("b.y0") + r))
+    if not touch:
+        pixels, near, upper = shared(0), shared(0) > p.overlap_pixels, layers
+    else:
+        r = p.touch_reach
+        upper = layers.withColumns({"x0": F.col("x0") - r, "y0": F.col("y0") - r, "x1": F.col("x1") + r, "y1": F.col("y1") + r})
+        pixels, near = shared(r), (shared(r) > p.overlap_pixels) | (shared(0) > p.touch_pixels)
+    return overlapping(layers, upper, over & near).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("under_id"), F.col("b.id").alias("over_id"), pixels.alias("pixels"))
+
+
+def touching(layers: DataFrame, runs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """image_id, under_id, over_id of layers(image_id, layer_id, z) where the mask with the greater z, grown by p.touch_reach, has more than
+    p.touch_pixels of the lower mask."""
+    r, z = p.touch_reach, layers.select("image_id", "layer_id", "z")
+    lower = runs.join(z, ["image_id", "layer_id"]).alias("a")
+    upper = dilate(runs, r, r, r, r).join(z, ["image_id", "layer_id"]).alias("b")
+    on = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.y")) & (F.col("b.z") > F.col("a.z")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
+    found = lower.join(upper, on).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.layer_id").alias("under_id"), F.col("b.layer_id").alias("over_id"))
+    pixels = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
+    return found.agg(F.sum(pixels).alias("touch")).filter(F.col("touch") > p.touch_pixels).drop("touch")
 
 
 def with_children(geometric: DataFrame, parents: DataFrame) -> DataFrame:

@@ -82,3 +82,14 @@ def depths(edges: DataFrame, limit: int = 32) -> DataFrame:
 def preferred(sources: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of several sources for a key the first by precedence."""
     return sources.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_k = 1").drop("_k")
+
+
+def crops(boxes: DataFrame, pad: int, w: int, h: int) -> DataFrame:
+    """boxes with a, b, c, d: the box grown by pad, within the canvas."""
+    return boxes.withColumns({"a": F.greatest(F.lit(0), F.col("x0") - pad), "b": F.greatest(F.lit(0), F.col("y0") - pad), "c": F.least(F.lit(w), F.col("x1") + pad), "d": F.least(F.lit(h), F.col("y1") + pad)})
+
+
+def resolved(wanted: DataFrame, plans: DataFrame, fallbacks: DataFrame, key: str) -> DataFrame:
+    """key, source ('plan', 'fallback' or 'none') and is_fallback of what is wanted; plans and fallbacks list the keys they have."""
+    j = wanted.join(plans.select(key).distinct().withColumn("_p", F.lit("plan")), key, "left").join(fallbacks.select(key).distinct().withColumn("_f", F.lit("fallback")), key, "left")
+    return j.select(key, F.coalesce("_p", "_f", F.lit("none")).alias("source"), (F.col("_p").isNull() & F.col("_f").isNotNull()).alias("is_fallback"))

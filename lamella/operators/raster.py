@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.gates import ask_size
+from lamella.params import DEFAULT, Params
+
 KEYS = ("image_id", "layer_id", "y")
 
 
@@ -102,16 +105,18 @@ def point_hits(points: DataFrame, runs: DataFrame, w: int, h: int, clamped: bool
     return p.join(r, on, "left").groupBy("p.image_id", "p.layer_id", "p.kind", "p.px", "p.py").agg(F.bool_or(F.col("r.y").isNotNull()).alias("hit"))
 
 
-def halves(regions: DataFrame, limit: int, rounds: int = 4) -> DataFrame:
-    """Regions (id, x0, y0, x1, y1) cut in two along their longer side until no side is above the limit, so many rounds at most.
-    Each round is a projection; there is no recursion to wait for."""
+def halves(regions: DataFrame, rounds: int = 4, p: Params = DEFAULT) -> DataFrame:
+    """Regions (id, x0, y0, x1, y1) cut in two along their longer side, with an overlap to cross-fade over, until a provider takes their
+    size or there have been so many rounds. Each round is a projection; there is no recursion to wait for."""
     out = regions
     for _ in range(rounds):
         w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-        wide, cut = w >= h, F.greatest(w, h) > limit
-        mx, my = F.col("x0") + F.floor(w / 2), F.col("y0") + F.floor(h / 2)
-        box = lambda a, b, c, d: F.struct(a.cast("long").alias("x0"), b.cast("long").alias("y0"), c.cast("long").alias("x1"), d.cast("long").alias("y1"))
+        over = F.greatest(F.lit(8), F.least(F.lit(64), F.floor(F.least(w, h) / 8)))
         x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-        parts = F.when(~cut, F.array(box(x0, y0, x1, y1))).when(wide, F.array(box(x0, y0, mx, y1), box(mx, y0, x1, y1))).otherwise(F.array(box(x0, y0, x1, my), box(x0, my, x1, y1)))
+        mx, my = x0 + F.floor(w / 2), y0 + F.floor(h / 2)
+        box = lambda a, b, c, d: F.struct(a.cast("long").alias("x0"), b.cast("long").alias("y0"), c.cast("long").alias("x1"), d.cast("long").alias("y1"))
+        across = F.array(box(x0, y0, F.least(x1, mx + over), y1), box(F.greatest(x0, mx - over), y0, x1, y1))
+        down = F.array(box(x0, y0, x1, F.least(y1, my + over)), box(x0, F.greatest(y0, my - over), x1, y1))
+        parts = F.when(ask_size(w, h, p).isNotNull(), F.array(box(x0, y0, x1, y1))).when(w >= h, across).otherwise(down)
         out = out.select("id", F.explode(parts).alias("b")).select("id", "b.*")
     return out

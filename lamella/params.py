@@ -13,6 +13,7 @@ class Params:
     sure_confidence: float = 0.85
     tall_ratio: float = 2.4
     touch_pixels: int = 20
+    touch_reach: int = 2
     overlap_pixels: int = 100
     duplicate_pixels: int = 200
     duplicate_iou: float = 0.6
