@@ -26,14 +26,31 @@ def half_even(x: Column) -> Column:
     return F.bround(x.cast("double"), 0).cast("long")
 
 
+def _units(x: Column, n: int) -> Column:
+    """How many units of n decimals a number of 0 or more is, by its exact binary value, halves to the even number. It is compared with the midpoint without
+    error: x is split into two halves of 26 bits, whose products with 2 * 10 ** n are exact."""
+    twice = F.lit(float(2 * 10**n))
+    k = F.floor(x * F.lit(float(10**n)))
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    above, low = high * twice - (2 * k + 1).cast("double"), -((x - high) * twice)
+    return F.when(above > low, k + 1).when(above < low, k).otherwise(k + k % 2)
+
+
+def _signed(x: Column, n: int, form) -> Column:
+    return F.when(F.signum(x) < 0, F.concat(F.lit("-"), form(_units(-x, n)))).otherwise(form(_units(x, n)))
+
+
 def decimals(x: Column, n: int) -> Column:
-    """x rounded to n decimals as text: by its exact binary value, halves to the even digit, as Python's round() does."""
-    return F.replace(F.format_number(x.cast("double"), n), F.lit(","), F.lit(""))
+    """x rounded to n decimals as text, as Python formats it: by what the double is, halves to the even digit."""
+    text = lambda u: F.concat((u / 10**n).cast("long").cast("string"), F.lit("."), F.lpad((u % 10**n).cast("string"), n, "0"))
+    return _signed(x.cast("double"), n, text)
 
 
 def round_n(x: Column, n: int) -> Column:
     """Python's round(x, n); F.round and F.bround round what the double is written as, not what it is."""
-    return decimals(x, n).cast("double")
+    x = x.cast("double")
+    return F.when(F.signum(x) < 0, -(_units(-x, n) / F.lit(float(10**n)))).otherwise(_units(x, n) / F.lit(float(10**n)))
 
 
 def shortest(x: Column, n: int) -> Column:

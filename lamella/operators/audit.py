@@ -33,9 +33,11 @@ def box_error(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.alias("a").join(b.alias("b"), "id").select("id", F.greatest(*side).alias("error"))
 
 
-def safe_area(covered: DataFrame, w: int, h: int, least: int) -> DataFrame:
-    """A synthetic row for images whose top band of h rows has more than `least` pixels that no mask covers; covered: image_id, pixels."""
-    return covered.filter(F.lit(w * h) - F.col("pixels") > least).select("image_id", F.lit("status_bar_safe_area").alias("id"), (F.lit(w * h) - F.col("pixels")).alias("pixels"))
+def safe_area(images: DataFrame, covered: DataFrame, w: int, h: int, least: int) -> DataFrame:
+    """A synthetic row for images whose top band of h rows has more than `least` pixels that no mask covers; covered: image_id, pixels. An image without
+    any mask there has the whole band."""
+    free = F.lit(w * h) - F.coalesce("pixels", F.lit(0))
+    return images.select("image_id").distinct().join(covered, "image_id", "left").filter(free > least).select("image_id", F.lit("status_bar_safe_area").alias("id"), free.alias("pixels"))
 
 
 def manifest(layers: DataFrame, log: DataFrame, duplicates: DataFrame, dropped: DataFrame) -> DataFrame:

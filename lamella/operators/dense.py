@@ -46,17 +46,21 @@ MEANS = "label int, cluster int, n long, b double, g double, r double"
 
 
 def two_means(rounds: int = 10):
-    """Two means of a region's colours, begun at the darkest and the lightest; the larger cluster first."""
+    """Two means of a region's colours (each with n, how many pixels have it), begun at the darkest and the lightest; the larger cluster first. A
+    region is as large as it has colours, however many pixels."""
 
     def split(key, table):
         px = np.stack([table[c].to_numpy() for c in ("b", "g", "r")], axis=1).astype(float)
+        many = table["n"].to_numpy().astype(float)
+        order = np.lexsort(px.T[::-1])  # whatever order the rows came in
+        px, many = px[order], many[order]
         level = px.sum(1)
         centres = px[[int(np.argmin(level)), int(np.argmax(level))]]
         near = np.zeros(len(px), np.int64)
         for _ in range(rounds):
             near = np.argmin(((px[:, None, :] - centres) ** 2).sum(2), axis=1)
-            centres = np.array([px[near == k].mean(0) if (near == k).any() else centres[k] for k in (0, 1)])
-        n = np.bincount(near, minlength=2)
+            centres = np.array([np.average(px[near == k], axis=0, weights=many[near == k]) if (near == k).any() else centres[k] for k in (0, 1)])
+        n = np.bincount(near, many, minlength=2).astype(np.int64)
         order = np.argsort(-n, kind="stable")
         return pa.table([pa.array([key[0].as_py()] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array(n[order]), *[pa.array(centres[order, c]) for c in range(3)]], names=["label", "cluster", "n", "b", "g", "r"])
 

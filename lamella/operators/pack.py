@@ -24,29 +24,32 @@ def chunked(items: DataFrame, key: str, order: str, size: str, budget: int) -> D
 CELLS = "image_id long, ord long, x long, y long, w long, h long, scale double, atlas_w long, atlas_h long"
 
 
-def shelves(width: int = 2048, rounds: int = 8, gap: int = 4):
-    """For applyInArrow over (image_id, ord, w, h): cells on shelves, tallest first; all are scaled down, a round at a time, until the
-    atlas is no higher than wide. Cells are even, the canvas is a multiple of 8."""
+def shelves(side: int = 2048, rounds: int = 8, gap: int = 8):
+    """For applyInArrow over (image_id, ord, w, h): cells on shelves, tallest first (by order on ties). Cells are 8 pixels at least and rounded down to even;
+    the atlas's sides are multiples of 8. As long as the longer one is above `side` and the scale above 0.15, all are scaled by the excess, `rounds`
+    times at most; the scale given is that of the next round where the last one didn't do."""
     import pyarrow as pa
 
+    def even(v: int, scale: float) -> int:
+        n = max(8, int(round(v * scale)))
+        return n - n % 2
+
     def pack(key, table):
-        rows = sorted(zip(table["ord"].to_pylist(), table["w"].to_pylist(), table["h"].to_pylist(), strict=True), key=lambda r: (-r[2], r[0]))
+        rows = sorted(zip(table["ord"].to_pylist(), table["w"].to_pylist(), table["h"].to_pylist(), strict=True))
         scale = 1.0
-        for k in range(rounds):
-            out, x, y, shelf = [], 0, 0, 0
-            for ord_, w, h in rows:
-                cw, ch = (max(2, 2 * round(v * scale / 2)) for v in (min(w, width), h))
-                if x and x + cw > width:
+        for _ in range(rounds):
+            cells = [(ord_, even(w, scale), even(h, scale)) for ord_, w, h in rows]
+            out, x, y, shelf, wide = [], 0, 0, 0, 8
+            for ord_, w, h in sorted(cells, key=lambda c: -c[2]):
+                if x > 0 and x + w > side:
                     x, y, shelf = 0, y + shelf + gap, 0
-                out.append((key[0].as_py(), ord_, x, y, cw, ch, scale))
-                x, shelf = x + cw + gap, max(shelf, ch)
-            high = y + shelf
-            if high <= width or k == rounds - 1:
+                out.append((key[0].as_py(), ord_, x, y, w, h))
+                wide, x, shelf = max(wide, x + w), x + w + gap, max(shelf, h)
+            size = [-(-v // 8) * 8 for v in (wide, max(y + shelf, 8))]
+            if max(size) <= side or scale <= 0.15:
                 break
-            scale *= max(0.5, (width / high) ** 0.5)
-        used = max((r[2] + r[4] for r in out), default=0)
-        size = (-(-used // 8) * 8, -(-high // 8) * 8)
-        columns = list(zip(*[(*r, *size) for r in out], strict=True))
+            scale *= side / max(size)
+        columns = list(zip(*[(*r, round(scale, 4), *size) for r in out], strict=True))
         names = [c.split(" ")[0] for c in CELLS.split(", ")]
         return pa.table([pa.array(c, pa.float64() if n == "scale" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 

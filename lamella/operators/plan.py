@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.text import family_of
+from lamella.sources.tables import staged
 
 #: Fixed values.
 KIND, ROLE, MODES = "icon", "foreground", ("image", "surface", "none")
@@ -66,17 +67,18 @@ def children(c: DataFrame, parent: str = "parent_query_id", child: str = "id", o
     return c.filter(F.col(parent).isNotNull()).groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, child))), lambda x: x.getField(child)).alias("children"))
 
 
-def depths(edges: DataFrame, limit: int = 32) -> DataFrame:
-    """node, depth, root of every node of edges(node, parent), parent null at roots; cycles end at the limit."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, depth, root) AS (
-            SELECT node, 0, node FROM {{edges}} WHERE parent IS NULL
-            UNION ALL
-            SELECT e.node, up.depth + 1, up.root FROM {{edges}} e JOIN up ON e.parent = up.node WHERE up.depth < {limit}
-        ) SELECT * FROM up""",
-        edges=edges,
-    )
+def depths(edges: DataFrame) -> DataFrame:
+    """node, depth, root of every node of edges(node, parent) that a root (parent null) leads to; nodes on cycles, below them or below an unknown parent have
+    no row. Pointers are doubled: a join a round, as many rounds as the depth has binary digits, whatever the depth."""
+    now = staged(edges.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("parent").isNull().alias("top")), "depths")
+    left = None
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("top").alias("at_top"))
+        now = staged(now.join(up, "root").select("node", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("at_top").alias("top")), "depths")
+        n = now.filter("not top").count()
+        if n == 0 or n == left:
+            return now.filter("top").select("node", "depth", "root")
+        left = n
 
 
 def preferred(sources: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -447,10 +447,10 @@ def coverage_ratio(spark: S, sf: str) -> DataFrame:
     return u.groupBy("image_id").agg(F.floor(F.sum(F.col("x1") - F.col("x0")) * 1000000 / (views.SMALL_W * views.SMALL_H)).alias("ppm"))
 
 
-@query(f"WITH {SMALL}, {_UNION}, B AS (SELECT image_id, sum(x1 - x0)::BIGINT AS pixels FROM UN WHERE y < 20 GROUP BY 1) SELECT image_id, 'status_bar_safe_area' AS id, {views.SMALL_W * 20} - pixels AS pixels FROM B WHERE {views.SMALL_W * 20} - pixels > 1000")
+@query(f"WITH {SMALL}, {_UNION}, B AS (SELECT image_id, coalesce(sum(x1 - x0) FILTER (y < 20), 0)::BIGINT AS pixels FROM UN GROUP BY 1) SELECT image_id, 'status_bar_safe_area' AS id, {views.SMALL_W * 20} - pixels AS pixels FROM B WHERE {views.SMALL_W * 20} - pixels > 100")
 def safe_area_row(spark: S, sf: str) -> DataFrame:
     u = raster.union(raster.from_boxes(small(layers(spark, sf)))).filter("y < 20").groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
-    return audit.safe_area(u, views.SMALL_W, 20, 1000)
+    return audit.safe_area(small(layers(spark, sf)), u, views.SMALL_W, 20, 100)
 
 
 @query(f"WITH {SMALL}, PX AS (SELECT image_id, y, unnest(range(x0, x1)) AS x, layer_id, z, ord FROM R), O AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY z DESC, ord DESC) AS k FROM PX) SELECT image_id, y, x, layer_id FROM O WHERE k = 1")
@@ -522,7 +522,7 @@ def mask_components(spark: S, sf: str) -> DataFrame:
 
 @query()
 def region_two_means(spark: S, sf: str) -> DataFrame:
-    return pixels(spark, sf).select("label", "b", "g", "r").groupBy("label").applyInArrow(dense.two_means(), dense.MEANS)
+    return pixels(spark, sf).groupBy("label", "b", "g", "r").agg(F.count("*").alias("n")).groupBy("label").applyInArrow(dense.two_means(), dense.MEANS)
 
 
 @query(f"""WITH {LAYERS}, {_OVER}, {_BEST}, N AS (SELECT image_id, under_id AS id, count(*) AS n FROM EDGE GROUP BY ALL), G AS (SELECT image_id, count(*) FILTER (n > 0 AND mode <> 'none') AS n_repair, count(*) AS n_layers, count(*) FILTER (mode = 'image') AS n_image FROM L LEFT JOIN N USING (image_id, id) GROUP BY 1),

@@ -63,30 +63,32 @@ R AS (SELECT image_id, layer_id, z, ord, mode, unnest(range(y0, y1)) AS y, x0, x
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as text detections."""
+    """Documents as images, their words as text detections."""
     d = table(spark, sf, "documents")
-    n = F.col("n_chars")
-    word = F.element_at(F.split(F.col("text"), " "), 1)
-    return d.select(F.col("source").alias("image_id"), F.col("doc_id").alias("ord"), F.when(n % 7 == 0, F.substring("text", 1, 1)).otherwise(word).alias("text"), ((n % 100) / 100).alias("score"), (n % 40).alias("w"), (n % 90).alias("h"), "lang")
+    w = d.select(F.col("doc_id").alias("image_id"), "lang", "n_chars", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    n = F.col("n_chars") + F.col("pos")
+    return w.select("image_id", F.col("pos").cast("long").alias("ord"), F.when(n % 7 == 0, F.substring("word", 1, 1)).otherwise(F.col("word")).alias("text"), (n * 13 % 100 / 100).alias("score"), (n * 7 % 40).alias("w"), (n * 11 % 90).alias("h"), "lang")
 
 
-TEXTS = """T AS (SELECT source AS image_id, doc_id AS ord, CASE WHEN n_chars % 7 = 0 THEN substr(text, 1, 1) ELSE split_part(text, ' ', 1) END AS text,
-    (n_chars % 100) / 100 AS score, n_chars % 40 AS w, n_chars % 90 AS h, lang FROM documents)"""
+TEXTS = """T0 AS (SELECT doc_id AS image_id, lang, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS ord, n_chars FROM documents),
+T1 AS (SELECT *, n_chars + ord AS n FROM T0),
+T AS (SELECT image_id, ord, CASE WHEN n % 7 = 0 THEN substr(word, 1, 1) ELSE word END AS text, (n * 13 % 100) / 100 AS score, n * 7 % 40 AS w, n * 11 % 90 AS h, lang FROM T1)"""
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as pixels: three values of a vector are a pixel's channels; every third is a hole."""
+    """Embeddings as pixels: three values of a vector are a pixel's channels; every third is a hole. Channels that the last
+    pixel of a vector hasn't are 0."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
     level = F.pmod(F.floor(F.abs(F.col("v").cast("double")) * 1000), F.lit(256))
     p = e.select("vec_id", "label", F.floor(F.col("pos") / 3).alias("k"), (F.col("pos") % 3).alias("c"), level.alias("v"))
     one = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
-    return p.groupBy("vec_id", "label", "k").agg(one(0).alias("b"), one(1).alias("g"), one(2).alias("r")).dropna().withColumn("hole", (F.col("vec_id") + F.col("k")) % 3 == 0)
+    return p.groupBy("vec_id", "label", "k").agg(one(0).alias("b"), one(1).alias("g"), one(2).alias("r")).na.fill(0).withColumn("hole", (F.col("vec_id") + F.col("k")) % 3 == 0)
 
 
 PIXELS = """P0 AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS e FROM embeddings),
 P1 AS (SELECT vec_id, label, pos // 3 AS k, pos % 3 AS c, (floor(abs(e::DOUBLE) * 1000)::BIGINT) % 256 AS v FROM P0),
 P2 AS (SELECT vec_id, label, k, max(CASE WHEN c = 0 THEN v END) AS b, max(CASE WHEN c = 1 THEN v END) AS g, max(CASE WHEN c = 2 THEN v END) AS r FROM P1 GROUP BY ALL),
-P AS (SELECT *, (vec_id + k) % 3 = 0 AS hole FROM P2 WHERE b IS NOT NULL AND g IS NOT NULL AND r IS NOT NULL)"""
+P AS (SELECT *, (vec_id + k) % 3 = 0 AS hole FROM (SELECT vec_id, label, k, coalesce(b, 0) AS b, coalesce(g, 0) AS g, coalesce(r, 0) AS r FROM P2))"""
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:

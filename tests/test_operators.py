@@ -144,12 +144,3 @@ def test_sources(spark):
     assert hit.count() == miss.count() == 1
     calls = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS kind, 2.0 AS seconds UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 3.0")
     assert [(r.n, float(r.seconds)) for r in call_counts(calls).collect()] == [(2, 5.0)]
-
-
-def test_paint_of_every_pixel(spark):
-    from tests.conftest import DATA
-    from lamella.plans.catalogue import QUERIES
-
-    every = {(r.image_id, r.y, r.x): r.layer_id for r in QUERIES["paint_topmost_pixels"](spark, DATA).collect()}
-    sample = {(r.image_id, r.y, r.x): r.layer_id for r in QUERIES["paint_topmost"](spark, DATA).collect()}
-    assert sample == {k: v for k, v in every.items() if k[1] % 4 == 0 and k[2] % 4 == 0} and any(k[1] % 4 and k[2] % 4 for k in every)
