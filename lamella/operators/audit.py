@@ -123,3 +123,14 @@ def foreign_holes(masks_: DataFrame, holes: DataFrame) -> DataFrame:
 def newest(folders: DataFrame, key: str = "source") -> DataFrame:
     """The folder (key, path, modified, complete) that was modified last among the complete ones; the later path on ties."""
     return folders.filter("complete").groupBy(key).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+
+
+def error_summary(errors: DataFrame, key: str) -> DataFrame:
+    """Of box errors (key, error): their mean to one decimal, the greatest and their number."""
+    return errors.groupBy(key).agg(round_n(F.avg("error"), 1).alias("mean"), F.max("error").alias("most"), F.count("*").alias("n"))
+
+
+def reason_counts(rows: DataFrame, key: str, reason: str) -> DataFrame:
+    """key and a map from reasons to how often they are given; rows without a reason count for nothing."""
+    n = rows.filter(F.col(reason).isNotNull()).groupBy(key, reason).agg(F.count("*").alias("n"))
+    return n.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(reason), "n")))).alias("reasons"))

@@ -41,6 +41,12 @@ def text_style(h: Column, cjk: Column, coverage: Column, fg_luma: Column, bg_lum
     )
 
 
+def dilate_radius(h: Column, single_cjk: Column) -> Column:
+    """How far the mask of a text of this height is grown."""
+    of = lambda share, low, high: F.greatest(F.lit(low), F.least(F.lit(high), half_even(h * share)))
+    return F.when(single_cjk, of(0.16, 3, 8)).otherwise(of(0.09, 2, 6))
+
+
 def repair_route(mode: Column, hole: Column, policy: str = "auto", p: Params = DEFAULT) -> Column:
     """surface, image-gen, image-fill, too-small or none."""
     generate = F.lit(policy in ("auto", "gen"))

@@ -70,3 +70,21 @@ def base_colour(px: DataFrame, *keys: str) -> DataFrame:
     """Medians of the border pixels of each region; the mean of all its pixels where it has none."""
     border = [F.median(F.when(F.col("border"), F.col(c))) for c in CHANNELS]
     return px.groupBy(*keys).agg(*[F.coalesce(m, F.avg(c)).alias(c) for m, c in zip(border, CHANNELS, strict=True)])
+
+
+def glyph_threshold(px: DataFrame, key: str, scale: int = 3, least: int = 12, share: float = 0.65) -> DataFrame:
+    """Text pixels of regions by their distance to the region's own ground (base_colour), scaled and cut to 0..255: at least `least` and `share` of the Otsu level.
+    px has a flag `border`. Gives key, level, n, n_glyph and whether their share is so small or large that the whole region is taken."""
+    ground = base_colour(px, key).select(key, *[F.col(c).alias(f"base_{c}") for c in CHANNELS])
+    gap = [F.col(c) - F.col(f"base_{c}") for c in CHANNELS]
+    d = px.join(ground, key).select(key, F.least(F.lit(255), F.floor(F.lit(scale) * F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]))).cast("long").alias("d"))
+    glyph = F.col("d") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("level"))
+    out = d.join(otsu(d, key, "d"), key).groupBy(key, "level").agg(F.count("*").alias("n"), F.count_if(glyph).alias("n_glyph"))
+    part = F.col("n_glyph") / F.col("n")
+    return out.withColumn("coarse", (part < 0.015) | (part > 0.68))
+
+
+def prefill(px: DataFrame, key: str, least: int = 50, grey: int = 80) -> DataFrame:
+    """The colour that a hole is filled with first: the medians of the pixels outside it, cut to whole levels, if there are more than `least`; else grey."""
+    enough = F.count_if(~F.col("hole")) > least
+    return px.groupBy(key).agg(*[F.when(enough, F.median(F.when(~F.col("hole"), F.col(c))).cast("long")).otherwise(F.lit(grey).cast("long")).alias(c) for c in CHANNELS])

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions import geometry as geo
-from lamella.operators import audit, raster, stats
+from lamella.functions.text import has_cjk
+from lamella.operators import audit, gates, masks, raster, stats
 from lamella.plans.registry import query
-from lamella.plans.views import ATTEMPTS, LAYERS, SMALL, SMALL_H, SMALL_W, attempts, layers, small
+from lamella.plans.views import ATTEMPTS, LAYERS, PIXELS, SMALL, SMALL_H, SMALL_W, TEXTS, attempts, layers, pixels, small, texts
 from lamella.sources.tables import table
 
 S = SparkSession
@@ -115,3 +116,68 @@ def newest_output(spark: S, sf: str) -> DataFrame:
 def run_stamps(spark: S, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("generated"), F.date_format("ts", "'['HH:mm:ss']'").alias("stamp"))
+
+
+# ---- text pixels and colours
+
+_GLYPH = f"""WITH {PIXELS}, X AS (SELECT vec_id, b, g, r, k < 4 AND vec_id % 3 > 0 AS border FROM P),
+    B AS (SELECT vec_id, coalesce(median(b) FILTER (border), avg(b)) AS bb, coalesce(median(g) FILTER (border), avg(g)) AS bg, coalesce(median(r) FILTER (border), avg(r)) AS br FROM X GROUP BY 1),
+    D AS (SELECT vec_id, least(255, floor(3 * sqrt((b - bb) * (b - bb) + (g - bg) * (g - bg) + (r - br) * (r - br)))::BIGINT) AS d FROM X JOIN B USING (vec_id)),
+    T AS (SELECT a.vec_id, a.d AS t, count(*) FILTER (o.d <= a.d) AS n0, sum(o.d) FILTER (o.d <= a.d) AS s0, count(*) AS n, sum(o.d) AS s FROM (SELECT DISTINCT vec_id, d FROM D) a JOIN D o ON o.vec_id = a.vec_id GROUP BY ALL),
+    L AS (SELECT vec_id, t AS level FROM T QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN n0 < n THEN (s0 * n - s * n0)::DOUBLE * (s0 * n - s * n0)::DOUBLE / (n0 * (n - n0))::DOUBLE ELSE 0 END DESC, t) = 1),
+    G AS (SELECT vec_id, level, count(*) AS n, count(*) FILTER (d >= greatest(12, 0.65::DOUBLE * level)) AS n_glyph FROM D JOIN L USING (vec_id) GROUP BY ALL)"""
+
+
+@query(f"{_GLYPH} SELECT vec_id, level, n, n_glyph, n_glyph / n < 0.015 OR n_glyph / n > 0.68 AS coarse FROM G")
+def glyph_threshold(spark: S, sf: str) -> DataFrame:
+    px = pixels(spark, sf).withColumn("border", (F.col("k") < 4) & (F.col("vec_id") % 3 > 0))
+    return stats.glyph_threshold(px, "vec_id")
+
+
+@query(f"WITH {PIXELS}, C AS (SELECT vec_id, vec_id % 4 = 0 OR hole AS hole, b, g, r FROM P) SELECT vec_id // 4 AS region, " + ", ".join(f"CASE WHEN count(*) FILTER (NOT hole) > 50 THEN trunc(median({c}) FILTER (NOT hole))::BIGINT ELSE 80 END AS {c}" for c in "bgr") + " FROM C GROUP BY 1")
+def hole_prefill(spark: S, sf: str) -> DataFrame:
+    px = pixels(spark, sf).withColumn("hole", (F.col("vec_id") % 4 == 0) | F.col("hole")).withColumn("region", F.floor(F.col("vec_id") / 4))
+    return stats.prefill(px, "region")
+
+
+@query(f"""WITH {TEXTS}, X AS (SELECT image_id, ord, h, length(text) = 1 AND regexp_matches(text, '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}\\x{{3000}}-\\x{{303F}}\\x{{FF00}}-\\x{{FFEF}}]') OR ord % 5 = 0 AS one FROM T)
+    SELECT image_id, ord, CASE WHEN one THEN greatest(3, least(8, round_even(h * 0.16::DOUBLE, 0)::BIGINT)) ELSE greatest(2, least(6, round_even(h * 0.09::DOUBLE, 0)::BIGINT)) END AS radius FROM X""")
+def dilate_radius(spark: S, sf: str) -> DataFrame:
+    """Every fifth detection counts as a single CJK character, since the texts have none."""
+    t = texts(spark, sf)
+    one = ((F.length("text") == 1) & has_cjk(F.col("text"))) | (F.col("ord") % 5 == 0)
+    return t.select("image_id", "ord", gates.dilate_radius(F.col("h").cast("double"), one).alias("radius"))
+
+
+# ---- exports
+
+
+@query(f"WITH {SMALL} SELECT image_id, layer_id, concat_ws(',', x0, y0, x1 - x0, y1 - y0) AS rect, concat_ws(',', x0, y0, x1 - 1, y1 - 1) AS mask_bbox, ((x1 - x0) * (y1 - y0))::BIGINT AS alpha_px FROM S")
+def mask_rects(spark: S, sf: str) -> DataFrame:
+    r = masks.rects(raster.from_boxes(small(layers(spark, sf))))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return r.select("image_id", "layer_id", text("rect"), text("mask_bbox"), "alpha_px")
+
+
+@query(f"""WITH {SMALL}, M AS (SELECT DISTINCT image_id, y, unnest(range(x0, x1)) AS x FROM R WHERE ord % 9 = 0), G AS (SELECT image_id, unnest(range(greatest(0, y0 - 3), least({SMALL_H}, y1 + 3))) AS y, greatest(0, x0 - 3) AS a, least({SMALL_W}, x1 + 3) AS c FROM S WHERE ord % 9 = 0), GP AS (SELECT DISTINCT image_id, y, unnest(range(a, c)) AS x FROM G)
+    SELECT image_id, count(*) AS pixels FROM GP ANTI JOIN M USING (image_id, y, x) GROUP BY 1""")
+def background_ring(spark: S, sf: str) -> DataFrame:
+    """The softened edge around what is cut out of the background."""
+    s = small(layers(spark, sf)).filter("ord % 9 = 0")
+    return masks.ring(raster.from_boxes(s), 3, SMALL_W, SMALL_H).groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+
+
+@query(f"WITH {LAYERS}, E AS (SELECT kind, greatest(abs(q % 3), abs(q % 5 - 2), 1) AS error FROM L WHERE q % 13 <> 0) SELECT kind, printf('%.1f', avg(error))::DOUBLE AS mean, max(error) AS most, count(*) AS n FROM E GROUP BY 1")
+def box_error_summary(spark: S, sf: str) -> DataFrame:
+    x, q = layers(spark, sf), F.col("q")
+    truth = x.filter("q % 13 <> 0").select("id", (F.col("x0") + q % 3).alias("x0"), (F.col("y0") + q % 5 - 2).alias("y0"), "x1", (F.col("y1") + 1).alias("y1"))
+    return audit.error_summary(audit.box_error(x.select("id", "x0", "y0", "x1", "y1"), truth).join(x.select("id", "kind"), "id"), "kind")
+
+
+@query(f"""WITH {TEXTS}, X AS (SELECT image_id, CASE WHEN score < 0.35 THEN 'low_conf' WHEN regexp_full_match(text, '[A-Za-z]') AND score < 0.85 THEN 'single_latin' WHEN score < 0.85 AND w > 0 AND h >= 2.4 * w THEN 'vertical_deco' END AS reason FROM T),
+    N AS (SELECT image_id, reason, count(*) AS n FROM X WHERE reason IS NOT NULL GROUP BY ALL) SELECT image_id, string_agg(reason || '=' || n::VARCHAR, ';' ORDER BY reason) AS reasons FROM N GROUP BY 1""")
+def drop_reasons(spark: S, sf: str) -> DataFrame:
+    """Why detections of an image went, as a map."""
+    m = audit.reason_counts(texts(spark, sf).withColumn("reason", gates.text_reason()), "image_id", "reason")
+    pairs = F.transform(F.map_entries("reasons"), lambda e: F.concat(e.getField("key"), F.lit("="), e.getField("value").cast("string")))
+    return m.select("image_id", F.array_join(pairs, ";").alias("reasons"))
