@@ -453,12 +453,13 @@ def safe_area_row(spark: S, sf: str) -> DataFrame:
     return audit.safe_area(small(layers(spark, sf)), u, views.SMALL_W, 20, 100)
 
 
-@query(f"WITH {SMALL}, PX AS (SELECT image_id, y, unnest(range(x0, x1)) AS x, layer_id, z, ord FROM R), O AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY z DESC, ord DESC) AS k FROM PX) SELECT image_id, y, x, layer_id FROM O WHERE k = 1")
+@query(f"""WITH {SMALL}, PX AS (SELECT image_id, y, unnest(range(x0, x1)) AS x, layer_id, z, ord FROM R), O AS (SELECT image_id, y, x, arg_max(layer_id, (z, ord)) AS layer_id FROM PX GROUP BY ALL),
+    I AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y, layer_id ORDER BY x) AS k FROM O) SELECT image_id, y, min(x) AS x0, max(x) + 1 AS x1, layer_id FROM I GROUP BY image_id, y, layer_id, k""")
 def paint_topmost(spark: S, sf: str) -> DataFrame:
-    """Every pixel of every image."""
+    """Every pixel of every image, as runs of the layer that paints them."""
     s = small(layers(spark, sf))
     runs = s.filter("x1 > x0 and y1 > y0").select("image_id", "layer_id", "z", "ord", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
-    return raster.topmost(runs, 1)
+    return raster.from_pixels(raster.topmost(runs, 1)).select("image_id", "y", "x0", "x1", "layer_id")
 
 
 @query(f"""WITH {SMALL}, PX AS (SELECT image_id, layer_id, y, unnest(range(x0, x1)) AS x FROM R WHERE mode = 'image'), B AS (SELECT DISTINCT image_id, y, unnest(range(x0, x1)) AS x FROM R WHERE mode = 'surface')
