@@ -514,16 +514,33 @@ def atlas_shelf_pack(spark: S, sf: str) -> DataFrame:
     return x.groupBy("image_id").applyInArrow(pack.shelves(), pack.CELLS)
 
 
-@query()
+_COMPONENTS = f"""WITH RECURSIVE {SMALL}, G AS (SELECT image_id, (mode <> 'none')::BIGINT AS layer_id, ord AS k, x0, y0, x1, y1 FROM S),
+    A AS (SELECT a.image_id, a.layer_id, a.k, b.k AS o FROM G a JOIN G b ON a.image_id = b.image_id AND a.layer_id = b.layer_id AND a.k <> b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+    reach AS (SELECT image_id, layer_id, k, k AS o FROM G UNION SELECT r.image_id, r.layer_id, r.k, A.o FROM reach r JOIN A ON A.image_id = r.image_id AND A.layer_id = r.layer_id AND A.k = r.o),
+    C AS (SELECT image_id, layer_id, k, min(o) AS c FROM reach GROUP BY ALL), PX AS (SELECT DISTINCT image_id, layer_id, c, y, unnest(range(x0, x1)) AS x FROM (SELECT G.*, c, unnest(range(y0, y1)) AS y FROM G JOIN C USING (image_id, layer_id, k))),
+    N AS (SELECT image_id, layer_id, c, count(*) AS pixels, min((y, x)) AS first FROM PX GROUP BY ALL) SELECT image_id, layer_id, row_number() OVER (PARTITION BY image_id, layer_id ORDER BY first) - 1 AS label, pixels FROM N"""
+
+
+@query(_COMPONENTS)
 def mask_components(spark: S, sf: str) -> DataFrame:
     runs = raster.coalesced(raster.from_boxes(small(layers(spark, sf)).withColumn("layer_id", F.when(F.col("mode") == "none", 0).otherwise(1).cast("long"))))
     labelled = runs.groupBy("image_id", "layer_id").applyInArrow(dense.components(), dense.LABELS)
     return labelled.groupBy("image_id", "layer_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
 
 
-@query()
+_FAR = " + ".join("({c} - c{k}{c}) * ({c} - c{k}{c})".replace("{c}", c) for c in "bgr")
+_MEAN = ", ".join(f"coalesce(sum({c} * n) FILTER (near = {k}) / sum(n) FILTER (near = {k})::DOUBLE, any_value(c{k}{c})) AS c{k}{c}" for k in (0, 1) for c in "bgr")
+_ROUND = "N{j} AS (SELECT *, CASE WHEN " + _FAR.replace("{k}", "0") + " <= " + _FAR.replace("{k}", "1") + " THEN 0 ELSE 1 END AS near FROM HC JOIN M{i} USING (label)), M{j} AS (SELECT label, " + _MEAN + " FROM N{j} GROUP BY 1)"
+_ENDS = ", ".join(f"arg_min({c}, ({sign}(b + g + r), b, g, r))::DOUBLE AS c{k}{c}" for k, sign in ((0, ""), (1, "-")) for c in "bgr")
+_FOUR = ", ".join(f"printf('%.4f', CASE near WHEN 0 THEN c0{c} ELSE c1{c} END)::DOUBLE AS {c}" for c in "bgr")
+
+
+@query(f"""WITH {PIXELS}, HC AS (SELECT label, b, g, r, count(*) AS n FROM P GROUP BY ALL), M0 AS (SELECT label, {_ENDS} FROM HC GROUP BY 1), {", ".join(_ROUND.replace("{j}", str(k)).replace("{i}", str(k - 1)) for k in range(1, 11))},
+    K AS (SELECT label, near, sum(n)::BIGINT AS n FROM N10 GROUP BY ALL), E AS (SELECT label, near, coalesce(n, 0) AS n FROM (SELECT label, unnest([0, 1]) AS near FROM M10) LEFT JOIN K USING (label, near))
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY n DESC, near) - 1 AS cluster, n, {_FOUR} FROM E JOIN M10 USING (label)""")
 def region_two_means(spark: S, sf: str) -> DataFrame:
-    return pixels(spark, sf).groupBy("label", "b", "g", "r").agg(F.count("*").alias("n")).groupBy("label").applyInArrow(dense.two_means(), dense.MEANS)
+    m = pixels(spark, sf).groupBy("label", "b", "g", "r").agg(F.count("*").alias("n")).groupBy("label").applyInArrow(dense.two_means(), dense.MEANS)
+    return m.select("label", "cluster", "n", *[geo.round_n(F.col(c), 4).alias(c) for c in "bgr"])
 
 
 @query(f"""WITH {LAYERS}, {_OVER}, {_BEST}, N AS (SELECT image_id, under_id AS id, count(*) AS n FROM EDGE GROUP BY ALL), G AS (SELECT image_id, count(*) FILTER (n > 0 AND mode <> 'none') AS n_repair, count(*) AS n_layers, count(*) FILTER (mode = 'image') AS n_image FROM L LEFT JOIN N USING (image_id, id) GROUP BY 1),
