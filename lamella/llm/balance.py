@@ -182,7 +182,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     chosen = mix(docs, share, most, weights, seed).groupBy(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("size").alias(n)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
     chosen = chosen.filter(F.col(copies) > 0)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(of)) & (F.col(number) == F.col(n))
-    found = docs.withColumn(number, n_words(F.col("text"))).join(chosen, same)
+    # as large as docs in rows, so never broadcast
+    found = docs.withColumn(number, n_words(F.col("text"))).join(chosen.hint("merge"), same)
     one = found.filter(F.col(rows) == 1).withColumn(nth, F.lit(1))
     several = found.filter(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(key, of, n).orderBy("text")))
     each = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("int")
