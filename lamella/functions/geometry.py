@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, x))
-
-
 def intersection(a: str, b: str) -> Column:
     """Pixels that the boxes a.* and b.* share; a and b are prefixes such as "a.". """
     w = F.least(F.col(f"{a}x1"), F.col(f"{b}x1")) - F.greatest(F.col(f"{a}x0"), F.col(f"{b}x0"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.text import family_of
 from lamella.sources.tables import staged
 
 #: Fixed values.
@@ -53,10 +52,6 @@ def unique_ids(q: DataFrame, order: list[str], key: str = "image_id") -> DataFra
     return q.withColumn("_n", n).withColumn("id", F.when(F.col("_n") > 0, F.concat("id", F.lit("__"), F.col("_n").cast("string"))).otherwise(F.col("id"))).drop("_n")
 
 
-def families(q: DataFrame) -> DataFrame:
-    return q.withColumn("family", family_of(F.col("id")))
-
-
 def corrections(c: DataFrame) -> DataFrame:
     """Text corrections as boxes: less than 2 pixels wide or high, so inverted ones too, go; no confidence counts as 0.5."""
     return c.filter("x1 - x0 >= 2 and y1 - y0 >= 2").withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5)))

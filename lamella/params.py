@@ -26,10 +26,8 @@ class Params:
     max_black: float = 0.02
     min_std: float = 6.0
     max_delta: float = 90.0
-    safe_area_pixels: int = 1000
     min_request_pixels: int = 3_686_400
     max_request_side: int = 2800
-    shelf: int = 8
 
     def snapshot(self) -> dict:
         return asdict(self)
