@@ -76,9 +76,10 @@ def best_template(pool: DataFrame, scores: DataFrame, least: float = 0.85, share
     from lamella.functions.geometry import round_n
 
     med = pool.groupBy("group").agg(F.median("w").alias("mw"), F.median("h").alias("mh"))
-    good = scores.filter(F.col("other") != F.col("member")).filter(F.col("value") >= least).groupBy("group", "member", "k").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    good = scores.filter(F.col("other") != F.col("member")).filter(F.col("value") >= least).groupBy("group", "member", "k").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,18)")).alias("sum"))
+    good = good.withColumn("mean", F.col("sum").cast("double") / F.col("n"))  # whatever order the rows came in
     j = pool.join(med, "group").join(good, ["group", "member", "k"])
-    fits = j.filter((F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * (F.col("members") - 1)))) & (F.col("mean") >= least))
+    fits = j.filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * (F.col("members") - 1))))
     size = F.abs(F.col("w") - F.col("mw")) / F.col("mw") + F.abs(F.col("h") - F.col("mh")) / F.col("mh")
     key = F.struct(round_n(size, 3).alias("size"), round_n(-F.col("mean"), 4).alias("mean"), "member", "k")
     return fits.withColumn("key", key).groupBy("group").agg(F.min("key").alias("m"), F.min_by("mean", "key").alias("mean")).select("group", "m.member", "m.k", "mean")
