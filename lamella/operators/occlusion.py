@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import area, intersection
-from lamella.operators.raster import dilate
+from lamella.operators import dense
 from lamella.params import DEFAULT, Params
 
 #: Side of a tile in pixels. A busy image is dealt out by tiles, so one image is no one task.
@@ -45,15 +45,9 @@ def edges(layers: DataFrame, p: Params = DEFAULT, touch: bool = False) -> DataFr
 
 
 def touching(layers: DataFrame, runs: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """image_id, under_id, over_id of layers(image_id, layer_id, z) where the mask with the greater z, grown by p.touch_reach, has more than
+    """image_id, under_id, over_id of layers(image_id, layer_id, z) where the mask (runs or bands) with the greater z, grown by p.touch_reach, has more than
     p.touch_pixels of the lower mask."""
-    r, z = p.touch_reach, layers.select("image_id", "layer_id", "z")
-    lower = runs.join(z, ["image_id", "layer_id"]).alias("a")
-    upper = dilate(runs, r, r, r, r).join(z, ["image_id", "layer_id"]).alias("b")
-    on = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.y")) & (F.col("b.z") > F.col("a.z")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
-    found = lower.join(upper, on).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.layer_id").alias("under_id"), F.col("b.layer_id").alias("over_id"))
-    pixels = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
-    return found.agg(F.sum(pixels).alias("touch")).filter(F.col("touch") > p.touch_pixels).drop("touch")
+    return dense.with_images(runs, layers, ["layer_id", "z"], dense.touches(p.touch_reach, p.touch_pixels), dense.EDGES)
 
 
 def with_children(geometric: DataFrame, parents: DataFrame) -> DataFrame:
