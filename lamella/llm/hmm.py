@@ -37,8 +37,8 @@ GAIN = 1e-5
 #: Classes: the words of their own, buckets, the end, unknown words.
 END, UNKNOWN = TOP + BUCKETS, TOP + BUCKETS + 1
 CLASSES = UNKNOWN + 1
-#: Bytes of text of a block; tokens that go through a recursion side by side.
-BLOCK, TOGETHER = 8 << 20, 200_000
+#: Bytes of text of a block; tokens of texts that go through a recursion side by side, and of a stretch of its steps.
+BLOCK, TOGETHER, WINDOW = 8 << 20, 200_000, 1 << 14
 _LN10 = float(np.log(10))
 
 BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, words array<string>, train array<long>, ids binary"
@@ -156,61 +156,88 @@ class Model:
         for g in np.unique(cut):
             yield order[cut == g]
 
-    def forward(self, obs: np.ndarray, n: np.ndarray, keep: bool = False):
-        """Log likelihoods of the texts whose observations stand in obs one after the other, n each; with keep, of each
-        group also what backward needs."""
-        first = np.cumsum(n) - n
-        out, kept = np.zeros(len(n)), []
+    def steps(self) -> int:
+        """Steps from one scaling to the next. A step leaves of a text's sum the lowest emission at least, so sums stay above 1e-150,
+        far from the least double."""
+        low = float(np.log10(self.emit[self.emit > 0].min()))
+        return max(1, min(16, int(-150 / min(low, -1e-9))))
+
+    def ahead(self, obs: np.ndarray, lengths: np.ndarray, begin: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Log likelihoods of a group of texts by falling length, whose observations stand in obs from begin, step by step side by
+        side. Into kept goes of each window of steps what backward needs."""
+        active = np.append(np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right"), 0)
+        until = np.cumsum(active)
+        every, total, t1, a = self.steps(), np.zeros(len(lengths)), 0, self.start
+        while t1 < len(active) - 1:
+            t0 = t1
+            t1 = min(max(t0 + 1, int(np.searchsorted(until, until[t0] - active[t0] + WINDOW, "right"))), len(active) - 1)
+            sizes = active[t0:t1]
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            tokens = np.arange(at[-1]) - np.repeat(at[:-1], sizes)  # which text's
+            seen = obs[begin[tokens] + np.repeat(np.arange(t0, t1), sizes)]
+            emit, scales, cuts = self.emit[seen], {}, at.tolist()
+            alpha = np.empty_like(emit)
+            for t, lo, hi in zip(range(t0, t1), cuts[:-1], cuts[1:], strict=True):
+                now, e = alpha[lo:hi], emit[lo:hi]
+                if t:
+                    np.matmul(a[: hi - lo], self.move, out=now)
+                    np.multiply(now, e, out=now)
+                else:
+                    np.multiply(a, e, out=now)
+                if t % every == 0:
+                    s = now.sum(1)
+                    now /= s[:, None]
+                    total[: hi - lo] += np.log(s)
+                    scales[t - t0] = s[:, None]
+                a = now
+            over = np.arange(active[t1], active[t0])  # texts that end here
+            last = at[lengths[over] - 1 - t0] + over
+            ends = alpha[last].sum(1)
+            total[over] += np.log(ends)
+            if kept is not None:
+                kept.append((seen, alpha, at, scales, last, ends))
+        return total
+
+    def forward(self, obs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log likelihoods of the texts whose observations stand in obs one after the other, n each."""
+        first, out = np.cumsum(n) - n, np.zeros(len(n))
         for g in self.groups(n):
-            lengths, begin = n[g], first[g]
-            active = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")
-            total = np.zeros(len(g))
-            alphas, scales = [], []
-            a = np.broadcast_to(self.start, (len(g), len(self.start)))
-            for t, m in enumerate(active.tolist()):
-                a = (a[:m] if t == 0 else a[:m] @ self.move) * self.emit[obs[begin[:m] + t]]
-                s = a.sum(1)
-                a = a / s[:, None]
-                total[:m] += np.log(s)
-                if keep:
-                    alphas.append(a.astype(np.float32))  # only for expected counts
-                    scales.append(s)
-            out[g] = total
-            if keep:
-                kept.append((g, begin, active, alphas, scales))
-        return (out, kept) if keep else out
+            out[g] = self.ahead(obs, n[g], first[g])
+        return out
 
     def expected(self, obs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, moves, (class, state); and the log likelihood."""
         k = len(self.start)
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
         like = 0.0
-        first = np.cumsum(n) - n
+        first, from_next = np.cumsum(n) - n, np.ascontiguousarray(self.move.T)
         for g in self.groups(n):
-            part = np.concatenate([obs[first[x] : first[x] + n[x]] for x in g]) if len(g) else obs[:0]
-            m_n = n[g]
-            likes, kept = self.forward(part, m_n, True)
-            like += float(likes.sum())
-            for _, begin, active, alphas, scales in kept:
-                beta = np.ones((0, k))
-                seen, gammas = [], []
-                for t in range(len(active) - 1, -1, -1):
-                    m = int(active[t])
-                    if len(beta) < m:
-                        beta = np.concatenate((beta, np.ones((m - len(beta), k))))
-                    gamma = alphas[t] * beta
-                    o = part[begin[:m] + t]
-                    seen.append(o)
-                    gammas.append(gamma)
-                    back = self.emit[o] * beta / scales[t][:, None]
-                    if t:
-                        moves += alphas[t - 1][:m].T @ back
-                        beta = back @ self.move.T
-                    else:
-                        starts += gamma.sum(0)
-                seen_all, gamma_all = np.concatenate(seen), np.concatenate(gammas)
+            kept: list = []
+            like += float(self.ahead(obs, n[g], first[g], kept).sum())
+            back = np.ones((0, k))  # emission times backward of the step behind
+            while kept:
+                seen, alpha, at, scales, last, ends = kept.pop()
+                emit, cuts, sizes = self.emit[seen], at.tolist(), np.diff(at)
+                # under the scales of forward, so that forward times backward sums to 1 at each token
+                beta = np.empty_like(alpha)
+                beta[last] = 1 / ends[:, None]
+                moves += alpha[cuts[-2] : cuts[-2] + len(back)].T @ back
+                for t in range(len(sizes) - 1, -1, -1):
+                    lo, hi = cuts[t], cuts[t + 1]
+                    b = beta[lo:hi]
+                    np.matmul(back, from_next, out=b[: len(back)])
+                    back = emit[lo:hi]
+                    np.multiply(back, b, out=back)
+                    if t in scales:
+                        back /= scales[t]
+                before = np.arange(cuts[1], cuts[-1]) - np.repeat(sizes[:-1], sizes[1:])
+                moves += alpha[before].T @ emit[cuts[1] :]
+                gamma = np.multiply(alpha, beta, out=beta)
+                if not kept:
+                    starts += gamma[: cuts[1]].sum(0)
+                seen = seen.astype(np.int64)
                 for s in range(k):
-                    emits[:, s] += np.bincount(seen_all, gamma_all[:, s], minlength=CLASSES)
+                    emits[:, s] += np.bincount(seen, gamma[:, s], minlength=CLASSES)
         return starts, moves * self.move, emits, like
 
 
