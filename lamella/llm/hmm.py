@@ -53,8 +53,12 @@ def _planes(ids: np.ndarray) -> bytes:
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return b[0] | b[1] << 8 | b[2] << 16
+    b = np.frombuffer(data, np.uint8).reshape(3, -1)
+    ids = b[2].astype(np.int32)
+    for low in (b[1], b[0]):  # in place: a block's numbers are held once
+        ids <<= 8
+        ids |= low
+    return ids
 
 
 def _gathered(batches):
@@ -87,9 +91,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                 sizes.append(len(ws))
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             met = np.bincount(flat, minlength=len(numbers))
-            in_train = np.bincount(np.concatenate([x for x, h in zip(ids, held, strict=True) if not h] or [np.zeros(0, np.int32)]), minlength=len(numbers))
+            in_train = met - np.bincount(np.concatenate([x for x, h in zip(ids, held, strict=True) if h] or [np.zeros(0, np.int32)]), minlength=len(numbers))
             order = np.argsort(-met, kind="stable")  # frequent words get small numbers
-            rank = np.empty_like(order)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             words = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(order))
             one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
@@ -119,20 +123,25 @@ def coded(block: DataFrame, found: DataFrame, totals: dict) -> DataFrame:
                 f = batch.column("found")[k].values
                 at, c, cls = (f.field(x).to_numpy(zero_copy_only=False) for x in ("k", "c", "class"))
                 size = 1 + max(int(at.max()) if len(at) else -1, int(ids.max()) if len(ids) else -1)  # words that none found are unknown
-                counts, classes = np.zeros(size, np.int64), np.full(size, UNKNOWN, np.int64)
+                counts, classes = np.zeros(size, np.int64), np.full(size, UNKNOWN, np.uint16)
                 counts[at], classes[at] = c, cls
                 log_c = np.log10(counts + 1.0)
                 within = log_c - class_log[classes]
                 within[classes == UNKNOWN] = 0.0
                 n = batch.column("n")[k].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(n)
-                summed = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[np.concatenate(([0], ends))])
-                known = summed((counts[ids] > 0).astype(np.float64)).astype(np.int64) + (rows > 0)
-                base = summed(log_c[ids]) + np.log10(rows + 1.0) - (n + 1) * log_all
+                x = np.zeros(len(ids) + 1)  # one more, where empty texts at the end begin
+
+                def summed(of, ids=ids, n=n, ends=ends, x=x):
+                    np.take(of, ids, out=x[:-1], mode="clip")
+                    return np.where(n > 0, np.add.reduceat(x, ends - n), 0.0)
+
+                known = summed((counts > 0).astype(np.float64)).astype(np.int64) + (rows > 0)
+                base = summed(log_c) + np.log10(rows + 1.0) - (n + 1) * log_all
                 obs = np.insert(classes[ids], ends, END if rows else UNKNOWN)
                 one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(k, 1), batch.column("held_out").slice(k, 1), one(pa.array(n + 1, pa.int32())), one(pa.array(known, pa.int32())), one(pa.array(base)), one(pa.array(summed(within[ids]))), pa.array([obs.astype("<u2").tobytes()], pa.binary())],
+                    [batch.column("doc_id").slice(k, 1), batch.column("held_out").slice(k, 1), one(pa.array(n + 1, pa.int32())), one(pa.array(known, pa.int32())), one(pa.array(base)), one(pa.array(summed(within))), pa.array([obs.astype("<u2", copy=False).tobytes()], pa.binary())],
                     names=["doc_id", "held_out", "n", "known", "base", "within", "classes"],
                 )
 

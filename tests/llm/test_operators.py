@@ -213,6 +213,21 @@ def test_recursions_of_long_texts(monkeypatch):
     assert min(timed(lambda: m.expected(obs, lengths))[1] for _ in range(3)) < slow / 2
 
 
+def test_numbers_of_blocks():
+    """Numbers come back from their planes, without being held several times."""
+    import tracemalloc
+
+    from lamella.llm import hmm
+
+    for ids in (np.zeros(0, np.int64), np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1]), np.arange(1_000_000)):
+        data = hmm._planes(ids)
+        tracemalloc.start()
+        back = hmm._from_planes(data)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(back, ids) and peak < 8 * len(ids) + 10_000
+
+
 # ---- 3
 
 
