@@ -344,7 +344,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = staged(words.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "hmm-counts")
     rows = block.select(F.explode("held_out").alias("h")).filter("not h").count()
     top = counts.orderBy(F.desc("c"), "word").limit(TOP).select("word").collect()  # a bounded list
-    own = staged(docs.sparkSession.createDataFrame([(r.word, k) for k, r in enumerate(top)], "word string, own int"), "hmm-top")
+    listed = pa.table({"word": pa.array([r.word for r in top], pa.string()), "own": pa.array(range(len(top)), pa.int32())})
+    own = staged(docs.sparkSession.createDataFrame(listed), "hmm-top")  # a list of tuples would go through Python workers, which stay
     bucket = F.lit(TOP) + F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(BUCKETS)).cast("int")
     classed = staged(counts.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("own", bucket).alias("class")), "hmm-classes")
     sums = classed.groupBy("class").agg(F.sum(F.col("c") + 1).alias("mass"), F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # a row per class

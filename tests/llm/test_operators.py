@@ -228,6 +228,16 @@ def test_numbers_of_blocks():
         assert np.array_equal(back, ids) and peak < 8 * len(ids) + 10_000
 
 
+def test_no_python_rows(docs, monkeypatch):
+    """The list of frequent words becomes a table without a stage of Python workers, which would stay beside those that code blocks."""
+    from pyspark.core.rdd import RDD
+
+    from lamella.llm.hmm import score_texts
+
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", lambda self: pytest.fail("rows went through Python workers"))
+    assert score_texts(docs, rounds=1).count() == len(corpus())
+
+
 # ---- 3
 
 
